@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, sharding
+from . import bpe, langid, mixing, ngram_join, sharding
 from .common import table
 
 
@@ -16,13 +16,23 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False, digests=True)
 
 
+def op6_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.withColumn("held_out", langid.held_out(docs))
+    return langid.learn_and_identify(found, keep=("doc_id", "held_out"))
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "passes")
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op10_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op7_mix_sources, op10_shard_by_bytes)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op6_rank_order_language, op7_mix_sources, op9_ngram_jaccard, op10_shard_by_bytes)}
 ORACLES: dict[str, str] = {}
