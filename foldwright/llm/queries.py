@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, ngram_join, sharding
+from . import bpe, langid, mixing, ngram_join, secret_scan, sharding
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, ids=False, digests=True)
 
 
+def op5_randomness_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = docs.withColumn("held_out", langid.held_out(docs))
@@ -34,5 +38,5 @@ def op10_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op6_rank_order_language, op7_mix_sources, op9_ngram_jaccard, op10_shard_by_bytes)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op5_randomness_secrets, op6_rank_order_language, op7_mix_sources, op9_ngram_jaccard, op10_shard_by_bytes)}
 ORACLES: dict[str, str] = {}
