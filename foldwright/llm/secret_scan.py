@@ -132,7 +132,9 @@ def _battery(tokens: Column) -> list[tuple[str, Column | None]]:
 
 
 def _with_tokens(df: DataFrame) -> DataFrame:
-    df = df.withColumn("found", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
+    # every encoding has a digit, which few texts do; one class is far faster to look for
+    found = F.when(F.col("text").rlike("[0-9]"), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
+    df = df.withColumn("found", found.otherwise(F.array().cast("array<string>")))
     df = df.withColumn("tokens", _located(F.col("text"), TOKEN, F.col("found"), F.col("found"), 3)).drop("found")
     for name, expr in _battery(F.col("tokens")):
         df = df.withColumn(name, expr)
@@ -159,9 +161,11 @@ def scan(docs: DataFrame, keep=("doc_id",)) -> DataFrame:
     """The ``keep`` columns, ``__text`` and ``spans``: array of (start, kind, end), kind an index of KINDS."""
     limits = thresholds(docs)
     df = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX)):
-        df = df.withColumn(f"m_{name}", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
     none = F.array().cast("array<string>")
+    # what a match needs, by cheaper means first
+    needs = {"assign": F.col("text").rlike("[:=]"), "access": F.contains(F.col("text"), F.lit("AKIA")), "hex": F.lit(True)}
+    for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX)):
+        df = df.withColumn(f"m_{name}", F.when(needs[name], F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
     df = df.withColumn("g_assign", F.when(F.size("m_assign") > 0, F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))).otherwise(none))
     text = F.col("text")
     df = df.withColumn("base", F.concat(
