@@ -1,15 +1,16 @@
 """Byte-level BPE by a hierarchical-bitmap rank queue.
 
 A pre-token is a doubly linked list of byte symbols.  Each merge rank has a bucket
-with the list positions whose pair has that rank.  A three-level bitmap marks the
-ranks whose bucket is not empty: find-first-set on the top word, then on the words
-below, gives the lowest rank in constant time.  Positions in a bucket whose pair
+with the list positions whose pair has that rank.  A two-level bitmap marks the
+ranks whose bucket is not empty: find-first-set on the upper level, then on the word
+below it, gives the lowest rank in constant time.  Positions in a bucket whose pair
 has changed since are stale and are skipped.  Positions of one rank are merged from
 left to right, which is the order of the rank tables' own algorithm.  Every merge
 costs constant time, so a pre-token of n bytes takes O(n) queue steps however long
 it is, and there is no limit on length.
 
-Null and empty texts have no ids.  Special tokens are ordinary text.
+Null and empty texts have no ids.  Special tokens are ordinary text.  Letters and
+numbers are those of the ``regex`` module's Unicode version.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pre-tokens up to so many characters are remembered, and at most so many of them.
-CACHE_CHARS, CACHE_SIZE = 40, 300_000
+#: Pre-tokens up to so many characters are remembered, and at most twice so many of them.
+CACHE_CHARS, CACHE_SIZE = 40, 700_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -32,46 +33,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class RankQueue:
-    """Positions by rank with find-first-set over a bitmap of three levels (64**3 ranks)."""
-
-    __slots__ = ("low", "mid", "top", "buckets")
-
-    def __init__(self):
-        self.low: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
-            bucket.append(position)
-            return
-        self.buckets[rank] = [position]
-        a, b = rank >> 6, rank >> 12
-        self.low[a] = self.low.get(a, 0) | 1 << (rank & 63)
-        self.mid[b] = self.mid.get(b, 0) | 1 << (a & 63)
-        self.top |= 1 << b
-
-    def pop_rank(self) -> tuple[int, list[int]] | None:
-        """The lowest rank that has positions, with its whole bucket."""
-        top = self.top
-        if not top:
-            return None
-        b = (top & -top).bit_length() - 1
-        mid = self.mid[b]
-        a = b << 6 | (mid & -mid).bit_length() - 1
-        low = self.low[a]
-        rank = a << 6 | (low & -low).bit_length() - 1
-        low &= low - 1
-        self.low[a] = low
-        if not low:
-            mid &= mid - 1
-            self.mid[b] = mid
-            if not mid:
-                self.top &= top - 1
-        return rank, self.buckets.pop(rank)
+_BIT = [1 << i for i in range(256)]
 
 
 class Codec:
@@ -81,61 +43,98 @@ class Codec:
         import regex
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.byte_id = [ranks.get(bytes([b])) for b in range(256)]
+        self.byte_id = [ranks[bytes([b])] for b in range(256)]
         self.text_of = {str(i): t for t, i in ranks.items()}
         self.bytes_of = {i: t for t, i in ranks.items()}
-        self.pair_rank: dict[tuple[int, int], int | None] = {}
+        self.shift = max(ranks.values()).bit_length()
+        #: Every pair of tokens that makes a token, as one number, and that token's rank.
+        self.merged = {ranks[t[:i]] << self.shift | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        #: The bitmap's lower level, 256 ranks a word; all zero between calls.
+        self.low = [0] * ((max(ranks.values()) >> 8) + 1)
         self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
 
     def encode_piece(self, piece: bytes) -> list[int]:
+        """Ids of one pre-token."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        n = len(piece)
-        ids = [self.byte_id[b] for b in piece]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue, pairs, bytes_of, ranks = RankQueue(), self.pair_rank, self.bytes_of, self.ranks
-        if len(pairs) > 1_000_000:
-            pairs.clear()
-
-        def rank_of(a: int, b: int) -> int | None:
-            try:
-                return pairs[a, b]
-            except KeyError:
-                found = pairs[a, b] = ranks.get(bytes_of[a] + bytes_of[b])
-                return found
-
+        n, shift, rank_of, low = len(piece), self.shift, self.merged.get, self.low
+        ids = [*map(self.byte_id.__getitem__, piece), -1]  # a pair with the end, or with a merged-away -1, has no rank
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        buckets: dict[int, int | list[int]] = {}  # one position, or several
+        get, bit_of = buckets.get, _BIT
+        top = 0  # the bitmap's upper level: a bit for each word that isn't zero
+        left = ids[0]
         for i in range(n - 1):
-            r = rank_of(ids[i], ids[i + 1])
+            right = ids[i + 1]
+            r = rank_of(left << shift | right)
+            left = right
             if r is not None:
-                queue.push(r, i)
-        while (head := queue.pop_rank()) is not None:
-            rank, bucket = head
-            bucket.sort()
-            for i in bucket:
+                have = get(r)
+                if have is None:
+                    buckets[r] = i
+                    w = r >> 8
+                    if not low[w]:
+                        top |= 1 << w
+                    low[w] |= bit_of[r & 255]
+                elif have.__class__ is int:
+                    buckets[r] = [have, i]
+                else:
+                    have.append(i)
+        while top:
+            word_bit = top & -top  # find first set, on either level
+            word = word_bit.bit_length() - 1
+            bits = low[word]
+            bit = bits & -bits
+            rank = word << 8 | bit.bit_length() - 1
+            low[word] = bits = bits ^ bit
+            if not bits:
+                top ^= word_bit
+            bucket = buckets.pop(rank)
+            for i in (bucket,) if bucket.__class__ is int else sorted(bucket):
                 j = after[i]
-                # stale: the symbol was merged away, or its pair is another one by now
-                if ids[i] < 0 or j >= n or rank_of(ids[i], ids[j]) != rank:
+                if rank_of(ids[i] << shift | ids[j]) != rank:
+                    continue  # stale: the pair there is another one by now
+                k = after[j]
+                ids[i], ids[j], after[i], before[k] = rank, -1, k, i
+                r = rank_of(rank << shift | ids[k])
+                if r is not None:
+                    have = get(r)
+                    if have is None:
+                        buckets[r] = i
+                        w = r >> 8
+                        if not low[w]:
+                            top |= 1 << w
+                        low[w] |= bit_of[r & 255]
+                    elif have.__class__ is int:
+                        buckets[r] = [have, i]
+                    else:
+                        have.append(i)
+                h = before[i]
+                if h < 0:
                     continue
-                k, h = after[j], before[i]
-                ids[i], ids[j], after[i] = rank, -1, k
-                if k < n:
-                    before[k] = i
-                    r = rank_of(rank, ids[k])
-                    if r is not None:
-                        queue.push(r, i)
-                if h >= 0:
-                    r = rank_of(ids[h], rank)
-                    if r is not None:
-                        queue.push(r, h)
+                r = rank_of(ids[h] << shift | rank)
+                if r is not None:
+                    have = get(r)
+                    if have is None:
+                        buckets[r] = h
+                        w = r >> 8
+                        if not low[w]:
+                            top |= 1 << w
+                        low[w] |= bit_of[r & 255]
+                    elif have.__class__ is int:
+                        buckets[r] = [have, h]
+                    else:
+                        have.append(h)
         return [x for x in ids if x >= 0]
 
     def _slow(self, word: str) -> str:
         """Ids of a pre-token, as decimals joined by commas."""
-        out = ",".join(map(str, self.encode_piece(word.encode("utf-8", "replace"))))
+        out = self.older.get(word) or ",".join(map(str, self.encode_piece(word.encode("utf-8", "replace"))))
         if len(word) <= CACHE_CHARS:
-            if len(self.known) >= CACHE_SIZE:
-                self.known.clear()
+            if len(self.known) >= CACHE_SIZE:  # what is met again moves to the new half
+                self.older, self.known = self.known, {}
             self.known[word] = out
         return out
 
