@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hashing_ann, langid, mixing, ngram_join, secret_scan, sharding, voronoi_knn
+from . import bpe, gru_lm, hashing_ann, langid, mixing, ngram_join, secret_scan, sharding, voronoi_knn
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "passes")
 
 
+def op8_gated_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), k=4, percent=85)
 
@@ -46,5 +50,5 @@ def op10_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), n_shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_voronoi_top_k, op4_multi_index_hashing, op5_randomness_secrets, op6_rank_order_language, op7_mix_sources, op9_ngram_jaccard, op10_shard_by_bytes)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_voronoi_top_k, op4_multi_index_hashing, op5_randomness_secrets, op6_rank_order_language, op7_mix_sources, op8_gated_recurrent_lm, op9_ngram_jaccard, op10_shard_by_bytes)}
 ORACLES: dict[str, str] = {}
