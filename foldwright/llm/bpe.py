@@ -177,6 +177,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep=("doc_i
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(load_ranks(rank_path))
     keep = list(keep)
+    at = keep.index("text") if "text" in keep and docs.schema["text"].dataType == T.StringType() else len(keep)
     kept = [docs.schema[c] for c in keep]
     fields = [T.StructField("n_tokens", T.LongType())]
     if ids:
@@ -187,7 +188,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep=("doc_i
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec_of(shared, pattern)
         for batch in batches:
-            joined = [codec.encode_joined(t) if t else "" for t in batch.column(len(keep)).to_pylist()]
+            joined = [codec.encode_joined(t) if t else "" for t in batch.column(at).to_pylist()]
             columns = [batch.column(i) for i in range(len(keep))]
             columns.append(pa.array([j.count(",") + 1 if j else 0 for j in joined], pa.int64()))
             if ids:
@@ -198,7 +199,8 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep=("doc_i
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *[f.name for f in fields]])
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in kept] + fields)
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(encoded, schema)
+    extra = [] if at < len(keep) else [F.col("text").cast("string").alias("__text")]
+    return docs.select(*keep, *extra).mapInArrow(encoded, schema)
 
 
 def decode_documents(encoded: DataFrame, rank_path: str, ids_column: str = "ids") -> DataFrame:

@@ -194,12 +194,13 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], keep=("doc_id",),
     from pyspark.sql import types as T
 
     keep = list(keep)
+    at = keep.index("text") if "text" in keep and docs.schema["text"].dataType == T.StringType() else len(keep)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)  # profile_size codes a language
 
     def predicted(batches):
         matcher = Matcher(shared.value, profile_size)
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
+            texts = batch.column(at).to_pylist()
             names, scores = [], []
             for i, j in _slices(texts):
                 codes, counts, bounds = count_ngrams([t or "" for t in texts[i:j]])
@@ -209,7 +210,8 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], keep=("doc_id",),
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     schema = T.StructType([T.StructField(c, docs.schema[c].dataType) for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(predicted, schema)
+    extra = [] if at < len(keep) else [F.col("text").cast("string").alias("__text")]
+    return docs.select(*keep, *extra).mapInArrow(predicted, schema)
 
 
 def held_out(docs: DataFrame, modulus: int = 4, fold: int = 2) -> F.Column:
