@@ -214,6 +214,13 @@ def substitute(e: Expr, name: str, by: Expr) -> Expr:
     return e.map_children(lambda c: substitute(c, name, by))
 
 
+def rename(e: Expr, names: dict[str, str]) -> Expr:
+    """All variables at once by their new names; for names that no binder has."""
+    if isinstance(e, Var):
+        return Var(names.get(e.name, e.name))
+    return e.map_children(lambda c: rename(c, names))
+
+
 @dataclass(frozen=True)
 class Fold:
     """A user-defined aggregate: ``acc`` is state -> row -> state, ``init`` its zero."""

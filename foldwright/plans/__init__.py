@@ -1,0 +1 @@
+"""Lowering folds to Spark plans."""
