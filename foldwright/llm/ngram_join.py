@@ -12,7 +12,10 @@ share would make such lists quadratic, but the content of one block of a hash
 partition of the set: linked sets of sizes up to u differ in at most
 ``H = 2u (100 - percent) / (100 + percent)`` shingles, so of more than H blocks one is
 equal in both.  Sizes are cut into ranges so that linked sets lie in the same or the
-next one.  Sets near the boundary emit both kinds.  The boundary minimises the number
+next one.  Blocks that hold nothing but popular shingles would chain all texts with a
+common passage, so a set with more than H other blocks emits only those: one of them is
+equal in any linked set.  Which shingles count as popular changes only the work, never
+the links.  Sets near the boundary emit both kinds.  The boundary minimises the number
 of keys, weighed, over the measured sizes.
 
 Lists only elect a leader (the least member), which gives one edge a member, not all
@@ -29,7 +32,7 @@ id can link others but has no name to give.  Repeated rows are equal sets.
 from __future__ import annotations
 
 from itertools import combinations
-from math import ceil, comb, sqrt
+from math import comb, exp, sqrt
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -46,6 +49,8 @@ LIGHT_MOST = 40
 GROUP_SHINGLES = 4_000_000
 #: Bits of the filter that spares unlinked documents the last shuffle; its size is fixed.
 FILTER_BITS = 1 << 24
+#: Popular shingles are looked for in one row of so many, and so many are kept (1 MB).
+POPULAR_SHARE, POPULAR_MOST = 16, 100_000
 #: Sets that a task remembers, to emit the keys of copies only once.
 SEEN = 500_000
 
@@ -83,8 +88,9 @@ def digest(s: np.ndarray) -> tuple[int, int]:
 class Keys:
     """Which keys a set of each size emits, for one threshold and boundary."""
 
-    def __init__(self, percent: int, boundary: int = 0):
+    def __init__(self, percent: int, boundary: int = 0, popular: np.ndarray | None = None):
         self.percent, self.boundary = percent, boundary
+        self.popular = np.zeros(0, np.uint64) if popular is None else popular
         self.lows, self.highs, self.parts, self.differ, self.edges = [1], [self.most(1)], [], [], {}
 
     def least(self, n: int) -> int:
@@ -101,13 +107,21 @@ class Keys:
         return int(np.searchsorted(self.highs, n))
 
     def blocks(self, i: int) -> tuple[int, int]:
-        """(H, number of blocks) of range i; a few more than H + 1, as some blocks are empty."""
+        """(H, number of blocks) of range i.
+
+        More blocks than H + 1, as some are empty: so many that of the smallest sets that
+        use the range nearly all have over H blocks that aren't.
+        """
         while len(self.parts) <= i:
-            self.range_of(self.highs[len(self.parts)] + 1)
-            h = 2 * self.highs[len(self.parts)] * (100 - self.percent) // (100 + self.percent)
-            spare = 0.02 * (h + 1)
+            j = len(self.parts)
+            self.range_of(self.highs[j] + 1)
+            h = 2 * self.highs[j] * (100 - self.percent) // (100 + self.percent)
+            smallest = self.least(self.lows[j])
+            parts = h + 1
+            while parts - (empty := parts * exp(-smallest / parts)) - 3.5 * sqrt(empty) < h + 1 and parts < smallest:
+                parts += 1
             self.differ.append(h)
-            self.parts.append(h + 2 + ceil(spare + 3 * sqrt(spare)))
+            self.parts.append(parts)
         return self.differ[i], self.parts[i]
 
     def ranges(self, n: int) -> list[int]:
@@ -134,6 +148,10 @@ class Keys:
             out += found
         if n > self.boundary:
             sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed)])
+            rare = np.ones(n, bool)
+            if len(self.popular):
+                rare = self.popular[np.minimum(np.searchsorted(self.popular, s), len(self.popular) - 1)] != s
+            rares = np.concatenate([[0], np.cumsum(rare)])
             for i in self.ranges(n):
                 differ, parts = self.blocks(i)
                 if i not in self.edges:
@@ -141,10 +159,12 @@ class Keys:
                     self.edges[i] = cuts, mix64(np.arange(parts, dtype=np.uint64) + (np.uint64(i + 1) << np.uint64(32)))
                 cuts, salt = self.edges[i]
                 at = np.concatenate([[0], np.searchsorted(s, cuts), [n]])
-                size = np.diff(at)
                 key = mix64((sums[at[1:]] - sums[at[:-1]]) ^ salt)
-                if (filled := size > 0).sum() > differ:
-                    key = key[filled]  # linked sets then have an equal block that isn't empty
+                # with more than H such blocks, a linked set has one of them too
+                for told in (np.diff(rares[at]) > 0, np.diff(at) > 0):
+                    if told.sum() > differ:
+                        key = key[told]
+                        break
                 out.append(key)
         return out
 
@@ -205,6 +225,19 @@ def keyed(docs: DataFrame, k: int, keys: Keys) -> DataFrame:
     return _scan(docs, k, handle, "key long, short long")
 
 
+def popular_shingles(docs: DataFrame, k: int) -> np.ndarray:
+    """The shingles most often met in a sixteenth of the rows, at least thrice; sorted."""
+    import pyarrow as pa
+
+    def handle(ids, sets, seen):
+        return [pa.array(np.concatenate(sets).view(np.int64))] if sets else None
+
+    sample = docs.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(POPULAR_SHARE)) == 0)
+    counts = _scan(sample, k, handle, "shingle long").groupBy("shingle").count().where("count >= 3")
+    found = counts.orderBy(F.desc("count"), "shingle").limit(POPULAR_MOST).toArrow()
+    return np.sort(found.column("shingle").to_numpy().view(np.uint64))
+
+
 def link_groups(group, percent: int) -> list[tuple[bytes, bytes]]:
     """Exact components of some sets: (node, root) for each node that links to another.
 
@@ -268,7 +301,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     spark = docs.sparkSession
     sizes = materialize(sized(docs, k), "ngram-sizes")
     counts = {r["n"]: r["c"] for r in sizes.where((F.col("n_shingles") > 0) & (F.col("n_shingles") <= 2 * LIGHT_MOST)).groupBy(F.col("n_shingles").alias("n")).agg(F.count_distinct("short").alias("c")).collect()}
-    keys = Keys(percent)
+    keys = Keys(percent, popular=popular_shingles(docs, k))
     keys.boundary = min(range(LIGHT_MOST + 1), key=lambda x: (keys.cost(counts, x), x)) if counts else 0
 
     lists = keyed(docs, k, keys)
