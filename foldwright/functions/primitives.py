@@ -83,5 +83,5 @@ FIRST_ORDER = {
     "zip": zip_lists, "head": head, "tail": tail, "id": lambda x: x, "max": F.greatest, "min": F.least, "abs": F.abs,
     "set_add": lambda v, s: F.array_union(s, F.array(v)), "union": F.array_union, "intersection": F.array_intersect,
     "is_set_empty": lambda s: F.size(s) == 0, "update_map": update_map, "contains_key": lambda m, k: F.map_contains_key(m, k),
-    "concat_map": concat_map, "length": lambda x: F.length(x), "size": lambda x: F.size(x),
+    "concat_map": concat_map, "outer_join": lambda a, b: outer_join_lists(a, b, F.lit(0).cast("bigint")), "length": lambda x: F.length(x), "size": lambda x: F.size(x),
 }

@@ -146,7 +146,21 @@ class Aggregate:
 
     def over(self, window) -> dict[str, Column]:
         """The leaves as window functions, for frames that end at the current row."""
-        return {self.column_name(s): self.native(s).over(window) for s in self.derivation.shapes if s.kind in ("sum", "max", "min", "or", "and", "keep") and not self.is_rows(s)}
+        out = {}
+        for s in self.derivation.shapes:
+            zero, e = s.leaf.init, self._col(s.e) if s.e is not None and s.kind in ("sum", "max", "min", "or", "and") else None
+            if s.kind == "sum":
+                c = F.coalesce(F.sum(e if not isinstance(s.e, Lit) else F.lit(s.e.value)).over(window), F.lit(0))
+                out[self.column_name(s)] = (c + F.lit(zero) if zero else c).cast("bigint") if isinstance(s.e, Lit) else c + F.lit(zero) if zero else c
+            elif s.kind in ("max", "min"):
+                e = F.when(self._col(s.cond), e) if s.cond is not None else e
+                c = (F.max if s.kind == "max" else F.min)(e).over(window)
+                out[self.column_name(s)] = c if zero in (float("inf"), float("-inf")) else (F.greatest if s.kind == "max" else F.least)(F.lit(zero), c)
+            elif s.kind in ("or", "and"):
+                out[self.column_name(s)] = F.coalesce((F.bool_or if s.kind == "or" else F.bool_and)(e).over(window), F.lit(zero))
+            elif s.kind == "keep":
+                out[self.column_name(s)] = F.lit(zero)
+        return out
 
     def entries(self, df: DataFrame, path: tuple = ()) -> DataFrame:
         """keys, ``k`` (map key, or place from 0) and the aggregate of every entry of one leaf."""
@@ -159,12 +173,8 @@ class Aggregate:
             out = out.where(F.col("k") < len(s.leaf.init))  # pairing ends with the shorter list
             y = F.col("__y")
             env = {f"y{''.join('.' + str(i) for i in p)}": _field(y, p) for p in _paths(element)}
-            inner = Aggregate(self.fold, {}, [], F.col("__o"), self.number) if False else self
-            saved, inner.order = inner.order, F.col("__o")
-            try:
-                aggs = [inner.native(i, env).alias("v" + "".join(f"_{j}" for j in i.leaf.path)) for i in s.inner]
-            finally:
-                inner.order = saved
+            cell = Aggregate(self.fold, {}, F.lit(0), F.col("__o"), self.number) if self.fold.row.kind != "tuple" else self
+            aggs = [cell.native(i, env).alias("v" + "".join(f"_{j}" for j in i.leaf.path)) for i in s.inner]
             return out.groupBy(*self.keys, "k").agg(*aggs)
         place = F.lit(0)
         env = self.env
