@@ -15,9 +15,8 @@ from ..synth.classics import CLASSICS
 from ..synth.derive import derive_merge
 from ..synth.refute import refute
 from .catalog import CATALOG
-from .queries import E_CENTS, cents, ORACLES, QUERIES, register
+from .queries import C, E_CENTS, cents, ORACLES, QUERIES, register
 
-C = F.col
 _STATS = {"n": "s_1", "total": "s_0", "lo": "s_2", "hi": "s_3"}
 _AGG = f"count(*) AS n, CAST(sum({E_CENTS}) AS BIGINT) AS total, min({E_CENTS}) AS lo, max({E_CENTS}) AS hi"
 

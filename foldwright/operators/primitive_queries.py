@@ -10,9 +10,8 @@ from ..lang.parser import parse
 from ..lang.simplify import simplify
 from ..plans.columns import to_column
 from ..sources.tables import table
-from .queries import ORACLES, QUERIES, register
+from .queries import C, ORACLES, QUERIES, register
 
-C = F.col
 
 
 def compiled(text: str, env: dict[str, Column], division=int_divide) -> Column:
@@ -21,13 +20,13 @@ def compiled(text: str, env: dict[str, Column], division=int_divide) -> Column:
 
 # ------------------------------------------------------------------ scalars, on customer
 
-_SCALAR_ENV = {"a": C("c_nationkey").cast("bigint"), "b": C("c_custkey") % 7 - 3, "s": C("c_mktsegment"), "n": C("c_name")}
+_SCALAR_ENV = lambda: {"a": C("c_nationkey").cast("bigint"), "b": C("c_custkey") % 7 - 3, "s": C("c_mktsegment"), "n": C("c_name")}
 _SCALAR_SQL = "(SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS a, c_custkey % 7 - 3 AS b, c_mktsegment AS s, c_name AS n FROM customer)"
 
 
 def scalar(name: str, text: str, sql: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, "customer").select(C("c_custkey").alias("id"), compiled(text, _SCALAR_ENV).alias("v"))
+        return table(spark, sf_dir, "customer").select(C("c_custkey").alias("id"), compiled(text, _SCALAR_ENV()).alias("v"))
 
     register(name, f"SELECT id, {sql} AS v FROM {_SCALAR_SQL}")(run)
 

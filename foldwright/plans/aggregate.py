@@ -164,6 +164,8 @@ class Aggregate:
 
     def entries(self, df: DataFrame, path: tuple = ()) -> DataFrame:
         """keys, ``k`` (map key, or place from 0) and the aggregate of every entry of one leaf."""
+        if "k" in self.keys:
+            raise ValueError("k names the entry's key; give the group another name")
         s = next(s for s in self.derivation.shapes if s.leaf.path == path)
         keys = [c.alias(k) for k, c in self.keys.items()]
         order = self.order if self.order is not None else F.lit(0)
