@@ -21,8 +21,11 @@ of keys, weighed, over the measured sizes.
 Lists only elect a leader (the least member), which gives one edge a member, not all
 pairs.  Connected candidates are then checked exactly: a candidate group's inverted
 lists are scanned breadth first, each document against those not reached yet, so a
-tight group of near copies costs about one scan.  Groups above ``GROUP_SHINGLES`` are
-cut into chunks and checked chunk pair by chunk pair.
+tight group of near copies costs about one scan.  A group above ``GROUP_SHINGLES`` is
+dealt in chunks over many tasks, in two rounds: first each chunk with some pivots that all
+chunks get, which joins nearly all of a true group; then the documents outside the
+group's largest component (in chunks, too) with every chunk, so that each pair that could
+still join two components meets in some task.
 
 Equal sets are one node throughout.  Nodes are 128-bit digests; shingles are 64-bit
 hashes.  Null and empty texts have empty sets and link with nothing; a row without an
@@ -47,6 +50,8 @@ HEAVY_WEIGHT = 1.5
 LIGHT_MOST = 40
 #: Shingles that one task checks at once (8 bytes each, and the lists over them).
 GROUP_SHINGLES = 4_000_000
+#: Pivots that every chunk of a large group gets, about.
+PIVOTS = 32
 #: Bits of the filter that spares unlinked documents the last shuffle; its size is fixed.
 FILTER_BITS = 1 << 24
 #: Popular shingles are looked for in one row of so many, and so many are kept (1 MB).
@@ -310,9 +315,9 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     groups = materialize(connected_components(edges, "ngram-candidates"), "ngram-groups").withColumnsRenamed({"node": "short", "label": "grp"})
 
     nodes = sizes.where("n_shingles > 0").groupBy("node", "short", "n_shingles").agg(F.min("doc_id").alias("least"))
-    weight = groups.join(nodes, "short").groupBy("grp").agg(F.sum("n_shingles").alias("w"))
+    weight = groups.join(nodes, "short").groupBy("grp").agg(F.sum("n_shingles").alias("w"), F.count("*").alias("docs"))
     n_chunks = F.when(F.col("w") <= GROUP_SHINGLES, 1).otherwise(F.ceil(F.col("w") * 2 / GROUP_SHINGLES)).cast("int")
-    groups = materialize(groups.join(weight.select("grp", n_chunks.alias("chunks")), "grp"), "ngram-weighed")
+    groups = materialize(groups.join(weight.select("grp", n_chunks.alias("chunks"), "docs"), "grp"), "ngram-weighed")
 
     # a bit filter of fixed size tells most tasks' rows that no one will ask for their set
     bit = F.pmod(F.col("short"), F.lit(FILTER_BITS))
@@ -335,21 +340,34 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
             return None
         return [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))]
 
-    members = _scan(docs, k, handle, "short long, node binary, members binary").join(groups, "short")
-    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    members = members.select("grp", "node", "members", "chunks", mine.alias("mine")).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    members = members.withColumns({"lo": F.least("mine", "other"), "hi": F.greatest("mine", "other")})
+    mine = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("mine")
+    members = _scan(docs, k, handle, "short long, node binary, members binary").join(groups, "short").select("grp", "node", "members", "chunks", "docs", mine)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
 
     def checked(table: pa.Table) -> pa.Table:
         found = dict(zip(table.column("node").to_pylist(), table.column("members").to_pylist()))
         linked = link_groups((list(found), [np.frombuffer(m, np.uint64) for m in found.values()]), percent) if len(found) > 1 else []
-        split = len(linked) * [table.column("chunks")[0].as_py() > 1]
-        return pa.table([pa.array([x for x, _ in linked], pa.binary()), pa.array([r for _, r in linked], pa.binary()), pa.array(split, pa.bool_())], names=["u", "v", "split"])
+        grp, split = len(linked) * [table.column("grp")[0].as_py()], len(linked) * [table.column("chunks")[0].as_py() > 1]
+        return pa.table([pa.array(grp, pa.int64()), pa.array([x for x, _ in linked], pa.binary()), pa.array([r for _, r in linked], pa.binary()), pa.array(split, pa.bool_())], names=["grp", "u", "v", "split"])
 
-    stars = materialize(members.groupBy("grp", "lo", "hi").applyInArrow(checked, "u binary, v binary, split boolean"), "ngram-links")
+    links = "grp long, u binary, v binary, split boolean"
+    pivot = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("docs")) < PIVOTS)
+    first = members.withColumn("part", F.explode(F.when(pivot, upto(F.col("chunks"))).otherwise(F.array("mine"))))
+    stars = materialize(first.groupBy("grp", "part").applyInArrow(checked, links), "ngram-links")
     whole = stars.where(~F.col("split")).select(F.col("u").alias("node"), F.col("v").alias("label"))
-    if stars.where("split").limit(1).count():
-        whole = whole.unionAll(connected_components(stars.where("split").select("u", "v"), "ngram-split"))
+    large = groups.where("chunks > 1")
+    if large.limit(1).count():
+        so_far = stars.where("split").select("u", "v")
+        within = nodes.join(large, "short").select("grp", "node", "n_shingles")
+        within = materialize(within.join(connected_components(so_far, "ngram-first"), "node", "left").withColumn("label", F.coalesce("label", "node")), "ngram-within")
+        largest = within.groupBy("grp", "label").count().groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+        rest = within.join(largest, "grp").where(F.col("label") != F.col("main"))
+        rest_chunks = rest.groupBy("grp").agg(F.ceil(F.sum("n_shingles") * 2 / GROUP_SHINGLES).cast("int").alias("rests"))
+        told = members.where("chunks > 1").join(rest_chunks, "grp").join(rest.select("node", F.lit(True).alias("outside")), "node", "left")
+        as_chunk = told.withColumn("part", F.col("mine")).withColumn("rest", F.explode(upto(F.col("rests"))))
+        as_rest = told.where("outside").withColumn("part", F.explode(upto(F.col("chunks")))).withColumn("rest", F.pmod(F.xxhash64("node", F.lit(2)), F.col("rests")).cast("int"))
+        second = as_chunk.unionByName(as_rest).groupBy("grp", "part", "rest").applyInArrow(checked, links)
+        whole = whole.unionAll(connected_components(so_far.unionAll(second.select("u", "v")), "ngram-split"))
     named = whole.join(nodes.select("node", "least"), "node")
     least = named.groupBy("label").agg(F.min("least").alias("component"))
     component = whole.join(least, "label").select("node", "component")

@@ -64,8 +64,10 @@ def test_null_ids_repeats_and_no_rows(spark):
     assert ngram_join.join(docs.limit(0)).count() == 0
 
 
-def test_large_groups_are_split(spark, monkeypatch):
+@pytest.mark.parametrize("pivots", [0, 2, 32])
+def test_large_groups_are_split(spark, monkeypatch, pivots):
     monkeypatch.setattr(ngram_join, "GROUP_SHINGLES", 300)
+    monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
     rng = random.Random(4)
     base = [f"b{i}" for i in range(60)]
     texts = [" ".join(base[:i] + [f"x{i}"] + base[i + 1 :]) for i in range(0, 60, 3)] + [" ".join(base)]
