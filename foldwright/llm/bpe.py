@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Pre-tokens up to so many characters are remembered, and at most twice so many of them.
-CACHE_CHARS, CACHE_SIZE = 40, 700_000
+CACHE_CHARS, CACHE_SIZE = 40, 250_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:

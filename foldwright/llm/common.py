@@ -88,13 +88,14 @@ _tables: dict[int, np.ndarray] = {}
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    """base**0 to base**(n-1) modulo 2**64; the longest table asked for so far is kept."""
+    """base**0 to base**(n-1) modulo 2**64; tables of up to 2 MB entries are kept."""
     have = _tables.get(int(base))
     if have is None or len(have) < n:
         have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _tables[int(base)] = have
+        if len(have) <= 1 << 21:
+            _tables[int(base)] = have
     return have[:n]
 
 
@@ -114,8 +115,8 @@ def words_of(data: np.ndarray, offsets: np.ndarray, salt: int = 0):
     """
     hashes, bounds = [], [np.zeros(1, np.int64)]
     done, i, n = 0, 0, len(offsets) - 1
-    while i < n:  # slices of a few MB keep the temporaries small
-        j = int(np.searchsorted(offsets, offsets[i] + (4 << 20), side="right")) - 1
+    while i < n:  # slices of a MB keep the temporaries, and the tables of powers, small
+        j = int(np.searchsorted(offsets, offsets[i] + (1 << 20), side="right")) - 1
         j = min(n, max(j, i + 1))
         piece = _FOLD[data[int(offsets[i]) : int(offsets[j])]]
         local = np.asarray(offsets[i : j + 1], np.int64) - int(offsets[i])
