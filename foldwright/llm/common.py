@@ -36,6 +36,12 @@ def _sweep(path: str) -> None:
         pass
 
 
+def sweep() -> None:
+    """Remove all scratch tables now; results that still read them must have been written."""
+    for path in list(_scratch):
+        _sweep(path)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
@@ -47,7 +53,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/foldwright-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if not _scratch:
-        atexit.register(lambda: [_sweep(p) for p in list(_scratch)])
+        atexit.register(sweep)
     _scratch[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
