@@ -107,16 +107,15 @@ def top_inner_products(table: DataFrame, k: int = 10, scale: int = 1024, n_pivot
     parts = {q: max(1, -(-queries[q][0] // QUERY_BLOCK)) for q in order}
     bundle = lambda q, h: first_bundle[q] + h % parts[q]
     blocks = {c: -(-n // DATA_BLOCK) for c, (n, _) in data.items()}
-    needs = {q: [(c, b) for c in wanted[q] for b in range(blocks[c])] for q in order}
     met: dict[int, set[int]] = {}  # data cell -> bundles that need it
     for q in order:
         for c in wanted[q]:
             met.setdefault(c, set()).update(bundle(q, h) for h in range(parts[q]))
 
-    plan = spark.sparkContext.broadcast((first_bundle, parts, needs, blocks, {c: sorted(b) for c, b in met.items()}))  # pivots x blocks
+    plan = spark.sparkContext.broadcast((first_bundle, parts, wanted, blocks, {c: sorted(b) for c, b in met.items()}))  # pivots x (pivots + bundles) numbers
 
     def dealt(batches):
-        first, split, need, size, meets = plan.value
+        first, split, wanted, size, meets = plan.value
         for batch in batches:
             ids, cell = batch.column("vec_id").to_numpy(), batch.column("cell").to_numpy()
             at, to, block, query = [], [], [], []
@@ -126,8 +125,9 @@ def top_inner_products(table: DataFrame, k: int = 10, scale: int = 1024, n_pivot
                     at.append(i), to.append(b), block.append((c << 32) + h % size[c]), query.append(False)
                 if v % 100 == 0:
                     b = first[c] + h % split[c]
-                    for d, j in need[c]:
-                        at.append(i), to.append(b), block.append((d << 32) + j), query.append(True)
+                    for d in wanted[c]:
+                        for j in range(size[d]):
+                            at.append(i), to.append(b), block.append((d << 32) + j), query.append(True)
                 if len(at) >= 20_000:
                     yield emit(batch, at, to, block, query)
                     at, to, block, query = [], [], [], []
