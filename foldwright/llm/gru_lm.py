@@ -1,27 +1,33 @@
 """Document log-likelihood under a gated recurrent word model.
 
 Tokens are lower-cased words and an end.  Counts of all training tokens are exact.  The
-``VOCAB`` most frequent (the end always among them) are the network's words; all others
+most frequent (the end always among them) are the network's words: ``VOCAB`` up to
+``VOCAB_TOKENS`` training tokens, then growing with their square root.  All others
 share one symbol, whose inner distribution is their add-one smoothed share of the tail,
 with room for an unseen word.  The network is a gated recurrent unit with
-class-factored softmax: words are cut into ``CLASSES`` classes of about equal
-frequency, the state predicts the class, then the word inside it.  So probabilities of
+class-factored softmax: words are cut into classes of about equal frequency
+(``CLASSES``, or the root of the number of words where that is more), the state predicts the class, then the word inside it.  So probabilities of
 all words and one unseen word sum to 1.
 
 Training is truncated backpropagation through time in numpy with Adam; the state is
-carried from window to window of a document but gradients are not.  It takes the
-``SAMPLE`` first training documents in hash order of their ids, whatever the input.
+carried from window to window of a document but gradients are not.  The ``SAMPLE``
+first documents in hash order of their ids only give the starting weights.  Then come
+``EPOCHS`` rounds over all training documents: every partition learns from all of its
+own, from the round's common weights, and the partitions' weights are averaged by their
+tokens, chunk by chunk in tasks, so the driver gets one set of weights a round.
 Scoring carries the state through the whole of every document.
 
 Words travel as 64-bit hashes.  The ``HEAD`` most frequent words have their counts
-broadcast (1 MB), so no task gets a frequent word's rows; the others are joined to
+broadcast (1 MB; never fewer than the network's), so no task gets a frequent word's rows; the others are joined to
 their counts by word.  Null and empty texts are the end alone; repeated rows get equal
 scores; an empty training set leaves every token unknown.
 """
 
 from __future__ import annotations
 
-from math import log10
+from copy import copy
+from heapq import heapreplace
+from math import isqrt, log10
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,6 +37,10 @@ from .common import bucket_of, materialize, text_buffer, words_of
 
 VOCAB, HEAD, CLASSES, HIDDEN = 1024, 65_536, 32, 16
 SAMPLE, EPOCHS, BATCH, WINDOW, RATE = 320, 3, 32, 16, 0.01
+#: Training tokens beyond which the network's words grow with the root of their number.
+VOCAB_TOKENS = 1 << 20
+#: Rounds over all documents: streams side by side, tokens held at once, weights a shuffled row.
+LANES, HELD_TOKENS, CHUNK = 512, 4_000_000, 4096
 #: The hash that stands for the end of a text.
 END = np.uint64(1)
 _LN10 = np.float64(np.log(10))
@@ -152,24 +162,64 @@ class GatedModel:
                         h = np.concatenate([new, h[n:]]) if n < len(h) else new
                         last = np.array([g[t] for g in group[:n]] + [0] * (len(h) - n))
                         tape[-1] += (last[:n],)
-                    grads = {k: np.zeros_like(v) for k, v in self.p.items()}
-                    states = np.concatenate([s[6] for s in tape])
-                    back = np.zeros_like(states)
-                    self.log_probs(states, np.concatenate([s[7] for s in tape]), grads, back)
-                    self._through_time(tape, back, grads)
                     turn += 1
-                    scale = 1 / len(states)
-                    for k, g in grads.items():
-                        g *= scale
-                        np.clip(g, -1, 1, out=g)
-                        mean[k] += 0.1 * (g - mean[k])
-                        square[k] += 0.001 * (g * g - square[k])
-                        self.p[k] -= RATE * (mean[k] / (1 - 0.9**turn)) / (np.sqrt(square[k] / (1 - 0.999**turn)) + 1e-8)
-
-    def _through_time(self, tape, back, grads) -> None:
-        """Gradients of one window; they stop at its start."""
+                    self._learn(tape, mean, square, turn)
+
+    def train_packed(self, texts: list[np.ndarray], moments: dict, seed: int = 6) -> None:
+        """One pass over texts as :meth:`train` takes them, laid end to end in lanes.  ``moments`` is kept between calls."""
+        if not moments:
+            moments |= {"mean": {k: np.zeros_like(v) for k, v in self.p.items()}, "square": {k: np.zeros_like(v) for k, v in self.p.items()}, "turn": 0}
+        rng = np.random.default_rng(seed + moments["turn"])
+        lanes = min(LANES, max(BATCH, len(texts) // 8), len(texts))
+        fill, held = [(0, i) for i in range(lanes)], [[] for _ in range(lanes)]
+        for text in sorted(texts, key=len, reverse=True):  # the longest first, each to the emptiest lane
+            n, i = fill[0]
+            heapreplace(fill, (n + len(text), i))
+            held[i].append(text)
+        for lane in held:
+            rng.shuffle(lane)
+        streams = sorted((np.concatenate(lane) for lane in held), key=len, reverse=True)
+        sizes = np.array([len(x) for x in streams])
+        ids, start = np.concatenate(streams), np.cumsum(sizes) - sizes
+        live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
+        h, last = np.zeros((lanes, self.p["u"].shape[0]), np.float32), np.zeros(lanes, np.int64)
+        for t0 in range(0, len(live), WINDOW):
+            tape = []
+            for t in range(t0, min(t0 + WINDOW, len(live))):
+                n = int(live[t])
+                before = h[:n] * (last[:n] != 0)[:, None]  # a text starts after an end, without a state
+                h, z, r, c = self.step(self.p["x"][last[:n]], before)
+                to = ids[start[:n] + t]
+                tape.append((n, last[:n], before, z, r, c, h, to))
+                last = to
+            moments["turn"] += 1
+            self._learn(tape, moments["mean"], moments["square"], moments["turn"], packed=True, share=sum(len(x[7]) for x in tape) / (lanes * WINDOW))
+
+    def _learn(self, tape, mean: dict, square: dict, turn: int, packed: bool = False, share: float = 1.0) -> None:
+        """One step of Adam for a window; of ``x`` in packed lanes, only for the words in it.
+
+        ``share`` of a full window shortens the step, or the last long text would outweigh all others.
+        """
+        grads = {k: np.zeros_like(v) for k, v in self.p.items()}
+        states = np.concatenate([s[6] for s in tape])
+        back = np.zeros_like(states)
+        self.log_probs(states, np.concatenate([s[7] for s in tape]), grads, back)
+        self._through_time(tape, back, grads, packed)
+        seen = np.unique(np.concatenate([s[1] for s in tape])) if packed else None
+        scale = 1 / len(states)
+        for k, g in grads.items():
+            rows = seen if packed and k == "x" else slice(None)
+            g = np.clip(g[rows] * np.float32(scale), -1, 1)
+            m = mean[k][rows] + 0.1 * (g - mean[k][rows])
+            q = square[k][rows] + 0.001 * (g * g - square[k][rows])
+            mean[k][rows], square[k][rows] = m, q
+            self.p[k][rows] -= share * RATE * (m / (1 - 0.9**turn)) / (np.sqrt(q / (1 - 0.999**turn)) + 1e-8)
+
+    def _through_time(self, tape, back, grads, packed: bool = False) -> None:
+        """Gradients of one window; they stop at its start and, in packed lanes, at a text's."""
         u, hidden, at = self.p["u"], self.p["u"].shape[0], len(back)
         later = np.zeros((tape[0][0], hidden), np.float32)
+        words, inputs = [], []
         for n, ids, before, z, r, c, _new, _to in reversed(tape):
             at -= n
             dh = later[:n] + back[at : at + n]
@@ -180,8 +230,14 @@ class GatedModel:
             gates = np.concatenate([dz, dr], 1)
             grads["u"][:, : 2 * hidden] += before.T @ gates
             grads["u"][:, 2 * hidden :] += (r * before).T @ dc
-            np.add.at(grads["x"], ids, np.concatenate([gates, dc], 1))
+            words.append(ids), inputs.append(np.concatenate([gates, dc], 1))
             later[:n] = dh * (1 - z) + drh * r + gates @ u[:, : 2 * hidden].T
+            if packed:
+                later[:n] *= (ids != 0)[:, None]
+        words = np.concatenate(words)
+        order = np.argsort(words, kind="stable")
+        words, first = np.unique(words[order], return_index=True)
+        grads["x"][words] += np.add.reduceat(np.concatenate(inputs)[order], first)
 
     def score(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Natural log-likelihood of each text ``ids[bounds[i]:bounds[i+1]]``, other words as one symbol."""
@@ -206,6 +262,58 @@ class GatedModel:
         return back
 
 
+def _learn_from_all(model: GatedModel, train: DataFrame, words: np.ndarray, rank: np.ndarray, epochs: int) -> None:
+    """Rounds over all texts: the partitions' weights, averaged by their tokens."""
+    import pyarrow as pa
+
+    names = list(model.p)
+    shapes = [model.p[k].shape for k in names]
+    cuts = np.cumsum([0, *[int(np.prod(x)) for x in shapes]])
+
+    for turn in range(epochs):
+        shared = train.sparkSession.sparkContext.broadcast((model, words, rank))
+
+        def learn(batches):
+            model, words, rank = shared.value
+            model = copy(model)
+            model.p = {k: v.copy() for k, v in model.p.items()}  # workers are used again
+            texts, moments, held, total = [], {}, 0, 0
+            for batch in batches:
+                for i in range(0, batch.num_rows, 512):
+                    hashes, bounds = tokens_of(batch.column(0).slice(i, 512))
+                    at = np.searchsorted(words, hashes)
+                    at[words[np.minimum(at, len(words) - 1)] != hashes] = len(words)
+                    ids = np.minimum(np.append(rank, model.size)[at], model.size).astype(np.int32)
+                    texts += [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+                    held, total = held + len(ids), total + len(ids)
+                    if held >= HELD_TOKENS:
+                        model.train_packed(texts, moments, turn)
+                        texts, held = [], 0
+            if texts:
+                model.train_packed(texts, moments, turn)
+            if total:
+                flat = np.concatenate([model.p[k].ravel() for k in names])
+                for i in range(0, len(flat), CHUNK):
+                    yield pa.RecordBatch.from_arrays([pa.array([i // CHUNK], pa.int32()), pa.array([total]), pa.array([flat[i : i + CHUNK].tobytes()])], names=["chunk", "n", "w"])
+
+        def average(batches):
+            sums = {}
+            for batch in batches:
+                for chunk, n, w in zip(*[c.to_pylist() for c in batch.columns]):
+                    w = np.frombuffer(w, np.float32) * np.float64(n)
+                    all_n, all_w = sums.get(chunk, (0, 0.0))
+                    sums[chunk] = all_n + n, all_w + w
+            for chunk, (n, w) in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([n]), pa.array([(w / n).astype(np.float32).tobytes()])], names=["chunk", "n", "w"])
+
+        schema = "chunk int, n long, w binary"
+        rows = train.select("text").mapInArrow(learn, schema).repartition("chunk").mapInArrow(average, schema).collect()
+        if rows:
+            flat = np.concatenate([np.frombuffer(r["w"], np.float32) for r in sorted(rows, key=lambda r: r["chunk"])])
+            model.p = {k: flat[a:b].reshape(x).copy() for k, x, a, b in zip(names, shapes, cuts, cuts[1:])}
+        shared.destroy()
+
+
 def score_documents(docs: DataFrame, modulus: int = 7, fold: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     import pyarrow as pa
@@ -217,14 +325,16 @@ def score_documents(docs: DataFrame, modulus: int = 7, fold: int = 2) -> DataFra
     counts = materialize(count_tokens(train), "lm-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n_all, v_all = int(total["n"]), int(total["v"])
-    head = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
+    grown = int(VOCAB * max(1.0, n_all / VOCAB_TOKENS) ** 0.5)
+    n_head = max(HEAD, grown)
+    head = counts.orderBy(F.desc("n"), "word").limit(n_head).toArrow()
     words, n = head.column("word").to_numpy().view(np.uint64), head.column("n").to_numpy()
     is_end = words == END
     ends = int(n[is_end].sum()) or int(counts.where(F.col("word") == int(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     words, n = np.append(END, words[~is_end]), np.append(ends, n[~is_end])  # the end is word 0
-    vocab = min(VOCAB, len(words)) if n_all else 0
+    vocab = min(grown, len(words)) if n_all else 0
     n_tail, v_tail = n_all - int(n[:vocab].sum()), v_all - vocab
-    model = GatedModel(n[:vocab].astype(np.float64), n_tail)
+    model = GatedModel(n[:vocab].astype(np.float64), n_tail, classes=max(CLASSES, isqrt(vocab)))
     order = np.argsort(words)
     words, n, rank = words[order], n[order], order
     denominators = n_all + v_all + 1, n_tail + v_tail + 1
@@ -241,7 +351,8 @@ def score_documents(docs: DataFrame, modulus: int = 7, fold: int = 2) -> DataFra
         hashes, bounds = tokens_of(sample)
         own = np.minimum(np.append(rank, vocab)[head_ids(hashes)], vocab)
         model.train([own[a:b] for a, b in zip(bounds[:-1], bounds[1:])][:SAMPLE])
-    shared = spark.sparkContext.broadcast((model, words, n, rank))  # fixed sizes
+        _learn_from_all(model, train, words, rank, EPOCHS)
+    shared = spark.sparkContext.broadcast((model, words, n, rank))
 
     def locate(hashes):
         _, words, n, rank = shared.value
@@ -253,7 +364,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, fold: int = 2) -> DataFra
 
     def main(batches):
         model, words, n, rank = shared.value
-        count, ranks = np.append(n, 0), np.append(rank, HEAD + 1)
+        count, ranks = np.append(n, 0), np.append(rank, n_head + 1)
         gain = np.log10(count + 1.0)
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):

@@ -186,6 +186,57 @@ def test_rare_words_are_joined(spark, monkeypatch):
         assert got[i]["n_known"] == sum(counts[x] > 0 for x in [*words(t), None])
 
 
+def test_every_training_document_counts(spark, monkeypatch):
+    """Documents beyond the starting sample teach the network too, and its words grow with the tokens."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(gru_lm, "SAMPLE", 10)
+    rng = random.Random(8)
+    pairs = ["ping pong", "tick tock", "salt pepper", "left right"]
+    rows = [(i, " ".join(rng.choices(pairs, k=12))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    first = {r[0] for r in docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2).orderBy(F.xxhash64("doc_id"), "doc_id").limit(10).select("doc_id").collect()}
+    turned = [(i, t if i in first or zlib.crc32(str(i).encode()) % 7 == 2 else " ".join(t.split()[::-1])) for i, t in rows]
+
+    def held(rows):
+        got = gru_lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)).where("held_out")
+        return sum(r["score"] for r in got.collect())
+
+    assert held(rows) > held(turned) + 50  # the same counts, the same sample, the same held-out texts
+    sizes = []
+    made = gru_lm.GatedModel.__init__
+    monkeypatch.setattr(gru_lm.GatedModel, "__init__", lambda self, counts, *a, **k: sizes.append(len(counts)) or made(self, counts, *a, **k))
+    monkeypatch.setattr(gru_lm, "VOCAB", 3)
+    monkeypatch.setattr(gru_lm, "VOCAB_TOKENS", 2000)
+    held(rows)
+    assert sizes == [int(3 * (sum(len(t.split()) + 1 for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2) / 2000) ** 0.5)] and sizes[0] > 3
+
+
+def test_packed_lanes_restart_at_texts():
+    """The gradient of texts laid end to end is the sum of theirs alone."""
+    texts = [np.array([3, 1, 0]), np.array([2, 5, 8, 0])]
+
+    def run(streams):
+        m = gru_lm.GatedModel(np.array([9.0, 5, 4, 3, 2, 2, 1, 1]), 6, hidden=5, classes=3)
+        grads = {k: np.zeros_like(v) for k, v in m.p.items()}
+        for ids in streams:
+            h, last, tape = np.zeros((1, 5), np.float32), np.zeros(1, int), []
+            for x in ids:
+                before = h * (last != 0)[:, None]
+                h, z, r, c = m.step(m.p["x"][last], before)
+                tape.append((1, last, before, z, r, c, h, np.array([x])))
+                last = np.array([x])
+            states = np.concatenate([s[6] for s in tape])
+            back = np.zeros_like(states)
+            m.log_probs(states, ids, grads, back)
+            m._through_time(tape, back, grads, packed=True)
+        return grads
+
+    one, two = run([np.concatenate(texts)]), run(texts)
+    for k in one:
+        assert one[k] == pytest.approx(two[k], abs=1e-5)
+
+
 # ------------------------------------------------------------------ quality
 
 
