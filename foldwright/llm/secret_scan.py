@@ -2,8 +2,11 @@
 
 Base spans come from three patterns (assignments to secret-like names, access keys,
 long hexadecimal runs).  Further spans, of kind ``random``, are tokens that look drawn
-at random.  A token of 20 or more characters of the usual alphabets gets an encoding
-inferred from its characters; its symbols then take three tests against uniform draws
+at random.  A token is 20 or more characters of the usual alphabets; ``=`` only pads its
+end, so a value glued to its name (NAME=VALUE) is a token of its own.  It gets an
+encoding inferred from its characters, and where ``_``, ``-``, ``/`` or ``+`` join names
+or paths to it, so does every part between them of 16 or more; a part inside a token
+that is reported whole is left out.  The symbols of each then take three tests against uniform draws
 from that alphabet: chi-squared uniformity, number of runs about the alphabet's middle,
 and lag-one serial correlation.  A token that fails one of them is not random.  For
 the others the same statistics are held against ordinary text, whose symbols are
@@ -31,17 +34,19 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: The leftmost longest run is the same whether its length is asked for here or afterwards.
 ACCESS, HEX = r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Parts of a token between separators; as long as a tested token's symbols must be.
+PART = r"[A-Za-z0-9]{16,}"
 MIN_ASSIGNED = 8
 
 #: Encoding: pattern, alphabet in order, unevenness of ordinary text in it (k * sum p^2 - 1).
 ENCODINGS = {
     "hex": (r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$", "0123456789abcdef", 0.9),
     "HEX": (r"^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", "0123456789ABCDEF", 0.9),
-    "base32": (r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.2),
+    "base32": (r"^(?=.*[A-Z])[A-Z2-7]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 1.2),
     "BASE36": (r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 1.4),
     "base36": (r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9]+$", "0123456789abcdefghijklmnopqrstuvwxyz", 1.4),
-    "base64": (r"^(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 3.0),
+    "base64": (r"^(?=.*[A-Z])(?=.*[a-z])[A-Za-z0-9+/]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 3.0),
 }
 #: How often neighbouring symbols of ordinary text lie in different halves of the alphabet.
 TEXT_SWITCH = 0.3
@@ -131,11 +136,18 @@ def _battery(tokens: Column) -> list[tuple[str, Column | None]]:
     ]
 
 
+def _with_parts(token: Column) -> Column:
+    """A token's span and, where separators join it, those of its parts."""
+    found = F.regexp_extract_all(token["group"], F.lit(PART), F.lit(0))
+    parts = F.transform(_located(token["group"], PART, found, found, 3), lambda p: F.struct((token["start"] + p["start"]).alias("start"), p["kind"], (token["start"] + p["end"]).alias("end"), p["group"]))
+    whole = F.array(token).cast(_SPAN)
+    return F.when(token["group"].rlike("[+/_-]"), F.concat(whole, parts.cast(_SPAN))).otherwise(whole)
+
+
 def _with_tokens(df: DataFrame) -> DataFrame:
-    # every encoding has a digit, which few texts do; one class is far faster to look for
-    found = F.when(F.col("text").rlike("[0-9]"), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
-    df = df.withColumn("found", found.otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("found", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
     df = df.withColumn("tokens", _located(F.col("text"), TOKEN, F.col("found"), F.col("found"), 3)).drop("found")
+    df = df.withColumn("tokens", F.flatten(F.transform("tokens", _with_parts)))
     for name, expr in _battery(F.col("tokens")):
         df = df.withColumn(name, expr)
     return df
@@ -177,6 +189,9 @@ def scan(docs: DataFrame, keep=("doc_id",)) -> DataFrame:
     if limits:
         least = lambda s: _first_of([(s["stratum"] == k, F.lit(v)) for k, v in sorted(limits.items())])
         added = F.filter("tokens", lambda s: (s["bin"] >= least(s)) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        # of a token and its own parts, the widest that passes
+        df = df.withColumn("passed", added)
+        added = F.filter("passed", lambda s: ~F.exists("passed", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]) & (s["end"] - s["start"] < b["end"] - b["start"])))
         added = F.transform(added, lambda s: F.struct(s["start"], F.lit(3).alias("kind"), s["end"]))
     else:
         added = F.array().cast("array<struct<start:int,kind:int,end:int>>")
