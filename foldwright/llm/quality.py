@@ -45,7 +45,7 @@ def features(text: Column) -> list[Column]:
         F.least(F.regexp_count(t, F.lit(r"\s\|\s|[#$%&*!]{2,}")) / words, F.lit(1.0)),
         F.least(n / words / 20, F.lit(1.0)),
         F.least(F.log1p(words) / 12, F.lit(1.0)),
-        F.size(F.array_distinct(F.slice(F.split(lower, r"\s+"), 1, 1_000_000))) / words,
+        F.size(F.array_distinct(F.split(lower, r"\s+"))) / words,
         F.size(F.array_distinct(F.split(t, "\n"))) / F.size(F.split(t, "\n")),
     ]
 

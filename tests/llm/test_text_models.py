@@ -264,6 +264,14 @@ def test_packed_lanes_restart_at_texts():
 # ------------------------------------------------------------------ quality
 
 
+def test_distinct_words_of_a_long_text(spark):
+    from pyspark.sql import functions as F
+
+    n = 1_300_000
+    df = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), i.cast("string"))), " ").alias("text"))
+    assert df.select(quality.features(F.col("text"))[6]).first()[0] == 1.0
+
+
 def test_quality(spark):
     from pyspark.sql import functions as F
 
