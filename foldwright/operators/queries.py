@@ -340,6 +340,16 @@ def u34_rasterfunction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("g", long("k").alias("k"), F.array_join(F.slice("v_0", 1, 10), ",").alias("readings"), F.size("v_0").cast("bigint").alias("n"), C("v_1").alias("last_time"), C("v_2").alias("last_value"))
 
 
+@register("u34b_raster_whole", """WITH b AS (SELECT label AS g, vec_id, unnest([0, 1, 2, 3]) AS k FROM embeddings)
+SELECT g, CAST(k AS BIGINT) AS k, array_to_string(list(vec_id * 4 + k ORDER BY vec_id), ',') AS readings, count(*) AS n, max(vec_id) AS last_time, max_by(vec_id % 17, vec_id) AS last_value FROM b GROUP BY 1, 2""")
+def u34b_raster_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As u34, with every reading of the list."""
+    bucket = lambda k: F.struct(F.array(C("vec_id") * 4 + k).alias("_0"), C("vec_id").alias("_1"), (C("vec_id") % 17).alias("_2"))
+    agg = Aggregate(CATALOG["raster"], {"g": C("label")}, F.array(*[bucket(k) for k in range(4)]), C("vec_id"))
+    rows = agg.entries(table(spark, sf_dir, "embeddings"))
+    return rows.select("g", long("k").alias("k"), F.array_join("v_0", ",").alias("readings"), F.size("v_0").cast("bigint").alias("n"), C("v_1").alias("last_time"), C("v_2").alias("last_value"))
+
+
 @register("u39_statsmotionlinearregression", "SELECT user_id AS g, count(*) AS n, round(coalesce(regr_slope(value, event_id), 0), 6) AS slope, max(event_id) AS stimulus, max_by(event_type, event_id) AS last_key FROM events GROUP BY user_id")
 def u39_statsmotionlinearregression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four lists only feed a regression, whose five sums are built in."""
@@ -354,6 +364,16 @@ def u39b_motion_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("g", F.array_join(F.slice("s_0", 1, 10), ",").alias("xs"), C("s_4").alias("hi"), C("s_6").alias("last_key"))
 
 
+@register("u39c_motion_whole", f"""SELECT user_id AS g, array_to_string(list({E_CENTS} ORDER BY event_id), ',') AS xs, array_to_string(list({E_CENTS} * 2 + event_id % 3 ORDER BY event_id), ',') AS ys,
+array_to_string(list(event_id % 7 ORDER BY event_id), ',') AS zs, array_to_string(list(event_id * 3 ORDER BY event_id), ',') AS times, greatest(-1, max(event_id * 3)) AS time, greatest(0, max(event_id % 11)) AS stimulus, max_by(event_type, event_id) AS last_key FROM events GROUP BY user_id""")
+def u39c_motion_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold's own state: four whole lists, two maxima and the last key."""
+    row = (V(), V() * 2 + EID() % 3, EID() % 7, EID() * 3, EID() % 11, C("event_type"))
+    rows = Aggregate(CATALOG["motion"], USER(), row, EID()).scalars(table(spark, sf_dir, "events"))
+    lists = [F.array_join(f"s_{i}", ",").alias(n) for i, n in enumerate(("xs", "ys", "zs", "times"))]
+    return rows.select("g", *lists, C("s_4").alias("time"), C("s_5").alias("stimulus"), C("s_6").alias("last_key"))
+
+
 @register("u40_aggmapfirst", "SELECT user_id % 10 AS g, event_type AS k, min_by(user_id % 7, event_id) AS v FROM events WHERE user_id % 7 <> 0 GROUP BY 1, 2")
 def u40_aggmapfirst(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The left map wins; zeros are dropped first.  Rows of a later map don't replace a key."""
