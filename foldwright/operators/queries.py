@@ -374,6 +374,28 @@ def u39c_motion_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("g", *lists, C("s_4").alias("time"), C("s_5").alias("stimulus"), C("s_6").alias("last_key"))
 
 
+#: Minutes since 2024-01-01, and three axes, in both dialects.
+_MOTION = "SELECT user_id, event_id, event_type, CAST(floor(epoch(ts) / 60) AS BIGINT) - 28401120 AS t, value AS x, value * (1 + event_id % 3) AS y, value * (1 + event_id % 5) AS z FROM events"
+
+
+def _axis(a: str) -> str:
+    slope = f"coalesce(regr_slope({a}, t), 0)"
+    return f"round(avg({a}), 6) AS mean_{a}, round({slope}, 6) AS slope_{a}, round(avg({a}) - {slope} * avg(t), 6) AS intercept_{a}"
+
+
+@register("u39d_motion_regressions", f"SELECT user_id AS g, {', '.join(_axis(a) for a in 'xyz')}, max_by(event_type, event_id) AS last_key, max(t) AS time, max(event_id) AS stimulus FROM ({_MOTION}) GROUP BY user_id")
+def u39d_motion_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole finish: mean, slope and intercept of three axes over time, key, time and stimulus.
+
+    Without a spread of times the slope is 0 (the division by zero of the language).
+    """
+    time = F.floor(F.unix_timestamp("ts") / 60) - 28401120
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", long(time).alias("t"), C("value").alias("x"), (C("value") * (1 + EID() % 3)).alias("y"), (C("value") * (1 + EID() % 5)).alias("z"))
+    slope = lambda a: F.coalesce(F.regr_slope(a, "t"), F.lit(0.0))
+    axes = [c for a in "xyz" for c in (F.round(F.avg(a), 6).alias(f"mean_{a}"), F.round(slope(a), 6).alias(f"slope_{a}"), F.round(F.avg(a) - slope(a) * F.avg("t"), 6).alias(f"intercept_{a}"))]
+    return rows.groupBy(C("user_id").alias("g")).agg(*axes, F.max_by("event_type", "event_id").alias("last_key"), F.max("t").alias("time"), F.max("event_id").alias("stimulus"))
+
+
 @register("u40_aggmapfirst", "SELECT user_id % 10 AS g, event_type AS k, min_by(user_id % 7, event_id) AS v FROM events WHERE user_id % 7 <> 0 GROUP BY 1, 2")
 def u40_aggmapfirst(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The left map wins; zeros are dropped first.  Rows of a later map don't replace a key."""
