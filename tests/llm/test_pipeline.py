@@ -15,6 +15,15 @@ def test_stages_have_the_names_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "n-gram Jaccard join", "secret scans", "mixing sources", "byte-level BPE"]
 
 
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    same, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(5, same), (5, same), (None, same), (9, same), (9, other), (None, "red green blue black white"), (None, "red green blue black white"), (1, ""), (1, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert got.columns == ["doc_id", "text"]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(5, same), (9, other), rows[5], (1, ""), (1, None)]))
+
+
 def test_whole_pipeline(spark, tmp_path):
     rng = random.Random(1)
     vocabulary = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
