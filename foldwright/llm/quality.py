@@ -91,12 +91,14 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) ->
     y = (rows.column(0).to_numpy() >= 0.5).astype(float) if rows.num_rows else np.zeros(0)
     if 0 < y.sum() < len(y):
         mean, spread, w, bias = _fit(np.column_stack([rows.column(i + 1).to_numpy() for i in range(len(xs))]), y)
-        rate = float(y.mean())
+        own_rate = float(y.mean())
+        rate = float(base.where(F.col("label").isNotNull()).agg(F.avg((F.col("label") >= 0.5).cast("double"))).first()[0])
         logit = F.lit(bias)
         for i in range(len(xs)):
             logit = logit + (F.col(f"x{i}") - float(mean[i])) * float(w[i] / spread[i])
         prior = float(np.log(rate / (1 - rate)))
-        evidence = F.least(F.greatest(logit - prior, F.lit(-MOST_EVIDENCE)), F.lit(MOST_EVIDENCE))
+        # the fitted bias holds the sample's odds
+        evidence = F.least(F.greatest(logit - float(np.log(own_rate / (1 - own_rate))), F.lit(-MOST_EVIDENCE)), F.lit(MOST_EVIDENCE))
     else:
         rate, prior, evidence = 0.5, 0.0, F.lit(0.0)
     base = base.withColumn("evidence", F.when(F.col("has"), evidence).otherwise(0.0))

@@ -272,6 +272,20 @@ def test_distinct_words_of_a_long_text(spark):
     assert df.select(quality.features(F.col("text"))[6]).first()[0] == 1.0
 
 
+def test_prior_is_of_all_labels(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(quality, "SAMPLE", 30)
+    seen, strength = {}, quality._strength
+    monkeypatch.setattr(quality, "_strength", lambda groups, parent: seen.setdefault(parent, groups.select(parent).first()[0]) and strength(groups, parent))
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices(["a", "bb", "%%", "9"], k=20)), f"h{i % 3}", "p") for i in range(400)]
+    labels = [(i, int(i % 5 < 3 or i % 7 == 0)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, path string")
+    assert quality.classify(docs, spark.createDataFrame(labels, "doc_id bigint, quality int"), F.col("source"), F.col("path")).count() == 400
+    assert seen["global"] == pytest.approx(sum(q for _, q in labels) / 400)
+
+
 def test_quality(spark):
     from pyspark.sql import functions as F
 
