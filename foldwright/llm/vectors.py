@@ -11,10 +11,10 @@ DATA_BLOCK, QUERY_BLOCK = 8192, 1024
 
 
 def usable(table: DataFrame) -> DataFrame:
-    """vec_id and v (array<double>) of the rows without null or non-finite components."""
+    """vec_id and v (array<double>) of the rows without null or non-finite components; repeated rows count once."""
     v = F.col("embedding").cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad)
+    return table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad).dropDuplicates(["vec_id", "v"])
 
 
 def is_query(vec_id: Column) -> Column:

@@ -23,6 +23,13 @@ def rows_of(x, first=0):
 ODD = [(5000, None, 0, "s"), (5100, [float("nan")] * 16, 0, "s"), (5200, [float("inf")] + [0.0] * 15, 0, "s"), (5300, [None] + [0.0] * 15, 0, "s"), (None, [1.0] * 16, 0, "s"), (5401, [0.5], 0, "s"), (5500, [0.0] * 16, 0, "s")]
 
 
+@pytest.mark.parametrize("search", [voronoi_knn.top_inner_products, hashing_ann.nearest_neighbours])
+def test_repeated_rows_count_once(spark, search):
+    rows = rows_of(sample(250))
+    once, again = [sorted(map(tuple, search(table(spark, r)).collect())) for r in (rows, rows + rows[:5] + rows[100:105])]
+    assert len(once) == 30 and again == once
+
+
 @pytest.mark.parametrize("block", [8192, 100])
 def test_voronoi_is_exact(spark, monkeypatch, block):
     monkeypatch.setattr(voronoi_knn, "DATA_BLOCK", block)
