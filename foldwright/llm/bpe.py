@@ -1,13 +1,19 @@
 """Byte-level BPE by a hierarchical-bitmap rank queue.
 
-A pre-token is a doubly linked list of byte symbols.  Each merge rank has a bucket
-with the list positions whose pair has that rank.  A two-level bitmap marks the
-ranks whose bucket is not empty: find-first-set on the upper level, then on the word
-below it, gives the lowest rank in constant time.  Positions in a bucket whose pair
-has changed since are stale and are skipped.  Positions of one rank are merged from
-left to right, which is the order of the rank tables' own algorithm.  Every merge
-costs constant time, so a pre-token of n bytes takes O(n) queue steps however long
-it is, and there is no limit on length.
+Pre-tokens are doubly linked lists of byte symbols, laid end to end with a wall after
+each, so that one queue serves many of them.  Each merge rank has a bucket with the list
+positions whose pair has that rank.  A two-level bitmap marks the ranks whose bucket is
+not empty: find-first-set on the upper level, then on the word below it, gives the
+lowest rank in constant time.  Positions in a bucket whose pair has changed since are
+stale and are skipped.  A bucket is merged as a whole, from left to right where its
+pairs overlap; what a merge makes can only be followed by pairs with the new token,
+which are looked up among that token's partners.  Every merge costs constant time, so
+n bytes take O(n) queue steps however long a pre-token is, and there is no limit on
+length.
+
+In most rank tables a pair with a new token ranks behind it.  Where one ranks before it,
+the rest of a bucket has to wait, so such a pre-token is merged one position at a time,
+by a queue of its own that looks for the lowest rank again after every merge.
 
 Null and empty texts have no ids.  Special tokens are ordinary text.  Letters and
 numbers are those of the ``regex`` module's Unicode version.
@@ -18,13 +24,21 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from functools import cached_property
+from heapq import heappop, heappush
+from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import release, text_slices
+
 #: Pre-tokens up to so many characters are remembered, and at most twice so many of them.
-CACHE_CHARS, CACHE_SIZE = 40, 250_000
+CACHE_CHARS, CACHE_SIZE = 40, 120_000
+#: Characters of text that are encoded together, and symbols in one queue.
+TEXT_CHARS, QUEUE_SYMBOLS = 4 << 20, 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -33,7 +47,46 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-_BIT = [1 << i for i in range(256)]
+class _Partners:
+    """Tokens that merge with a token on one side of it, and the ranks of the merged."""
+
+    def __init__(self, own: np.ndarray, other: np.ndarray, rank: np.ndarray, size: int):
+        order = np.lexsort((other, own))
+        self.other, self.rank = other[order], rank[order]
+        self.start = np.searchsorted(own[order], np.arange(size + 1)).tolist()
+
+    def __call__(self, token: int, others: np.ndarray) -> np.ndarray | None:
+        """Rank of the pair with each of ``others``, -1 for none; None if the token has no partner."""
+        a, b = self.start[token], self.start[token + 1]
+        if a == b:
+            return None
+        at = np.searchsorted(self.other[a:b], others)
+        at[at == b - a] = 0
+        at += a
+        return np.where(self.other[at] == others, self.rank[at], -1)
+
+
+class _Ranks:
+    """The set of ranks that have a bucket: two levels of bits, 256 ranks a word."""
+
+    def __init__(self, size: int):
+        self.low, self.top = [0] * ((size >> 8) + 1), 0
+
+    def add(self, rank: int) -> None:
+        word = rank >> 8
+        if not self.low[word]:
+            self.top |= 1 << word
+        self.low[word] |= 1 << (rank & 255)
+
+    def take(self) -> int:
+        """Remove and return the lowest; only while ``top`` isn't zero."""
+        word = (self.top & -self.top).bit_length() - 1
+        bits = self.low[word]
+        bit = bits & -bits
+        self.low[word] = bits ^ bit
+        if bits == bit:
+            self.top ^= 1 << word
+        return word << 8 | bit.bit_length() - 1
 
 
 class Codec:
@@ -43,112 +96,193 @@ class Codec:
         import regex
 
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.byte_id = [ranks[bytes([b])] for b in range(256)]
+        self.size = max(ranks.values()) + 1
+        self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.text_of = {str(i): t for t, i in ranks.items()}
-        self.bytes_of = {i: t for t, i in ranks.items()}
-        self.shift = max(ranks.values()).bit_length()
-        #: Every pair of tokens that makes a token, as one number, and that token's rank.
-        self.merged = {ranks[t[:i]] << self.shift | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
-        #: The bitmap's lower level, 256 ranks a word; all zero between calls.
-        self.low = [0] * ((max(ranks.values()) >> 8) + 1)
+        self.spelt = {i: str(i) for i in ranks.values()}
+        pairs = np.array([(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks], np.int32).reshape(-1, 3)
+        self.right = _Partners(pairs[:, 0], pairs[:, 1], pairs[:, 2], self.size)
+        self.left = _Partners(pairs[:, 1], pairs[:, 0], pairs[:, 2], self.size)
+        #: Ranks of pairs of bytes, the wall (256) with none.
+        self.first = np.full((257, 257), -1, np.int32)
+        for t, r in ranks.items():
+            if len(t) == 2:
+                self.first[t[0], t[1]] = r
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        n, shift, rank_of, low = len(piece), self.shift, self.merged.get, self.low
-        ids = [*map(self.byte_id.__getitem__, piece), -1]  # a pair with the end, or with a merged-away -1, has no rank
-        after, before = list(range(1, n + 2)), list(range(-1, n))
-        buckets: dict[int, int | list[int]] = {}  # one position, or several
-        get, bit_of = buckets.get, _BIT
-        top = 0  # the bitmap's upper level: a bit for each word that isn't zero
-        left = ids[0]
-        for i in range(n - 1):
-            right = ids[i + 1]
-            r = rank_of(left << shift | right)
-            left = right
-            if r is not None:
-                have = get(r)
+        return [x for _, ids in self.encode_many([piece]) for x in ids] if piece else []
+
+    def encode_many(self, pieces: list[bytes]) -> Iterator[tuple[int, list[int]]]:
+        """(place, ids) of every non-empty pre-token, in any order."""
+        queue, n = [], 0
+        for i, p in enumerate(pieces):
+            whole = self.ranks.get(p)
+            if whole is not None:
+                yield i, [whole]
+                continue
+            if n + len(p) > QUEUE_SYMBOLS and queue:
+                yield from zip(queue, self._merge([pieces[q] for q in queue]))
+                queue, n = [], 0
+            queue.append(i)
+            n += len(p) + 1
+        if queue:
+            yield from zip(queue, self._merge([pieces[q] for q in queue]))
+
+    def _merge(self, pieces: list[bytes]) -> list[list[int]]:
+        """Merge all the pieces with one queue."""
+        sizes = np.array([len(p) for p in pieces])
+        start = np.cumsum(sizes + 1) - sizes - 1
+        raw = np.full(int(sizes.sum()) + len(pieces), 256, np.int32)
+        inside = np.ones(len(raw), bool)
+        inside[start + sizes] = False
+        raw[inside] = np.frombuffer(b"".join(pieces), np.uint8)
+        ids = np.append(self.byte_id, np.int32(-1))[raw]
+        rank_at = np.full(len(raw), -1, np.int32)
+        rank_at[:-1] = self.first[raw[:-1], raw[1:]]
+        after, before = np.arange(1, len(raw) + 1, dtype=np.int32), np.arange(-1, len(raw) - 1, dtype=np.int32)
+        buckets: dict[int, list[np.ndarray]] = {}
+        queue = _Ranks(self.size)
+        early: list[np.ndarray] = []
+
+        def push(at: np.ndarray, ranks: np.ndarray) -> None:
+            if len(at) > 1:
+                order = np.argsort(ranks, kind="stable")
+                at, ranks = at[order], ranks[order]
+                cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+                cuts = [0, *cuts.tolist(), len(at)]
+            else:
+                cuts = [0, len(at)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                r = int(ranks[a])
+                have = buckets.get(r)
                 if have is None:
-                    buckets[r] = i
-                    w = r >> 8
-                    if not low[w]:
-                        top |= 1 << w
-                    low[w] |= bit_of[r & 255]
-                elif have.__class__ is int:
-                    buckets[r] = [have, i]
+                    buckets[r] = [at[a:b]]
+                    queue.add(r)
                 else:
-                    have.append(i)
-        while top:
-            word_bit = top & -top  # find first set, on either level
-            word = word_bit.bit_length() - 1
-            bits = low[word]
-            bit = bits & -bits
-            rank = word << 8 | bit.bit_length() - 1
-            low[word] = bits = bits ^ bit
-            if not bits:
-                top ^= word_bit
-            bucket = buckets.pop(rank)
-            for i in (bucket,) if bucket.__class__ is int else sorted(bucket):
-                j = after[i]
-                if rank_of(ids[i] << shift | ids[j]) != rank:
-                    continue  # stale: the pair there is another one by now
-                k = after[j]
-                ids[i], ids[j], after[i], before[k] = rank, -1, k, i
-                r = rank_of(rank << shift | ids[k])
-                if r is not None:
-                    have = get(r)
-                    if have is None:
-                        buckets[r] = i
-                        w = r >> 8
-                        if not low[w]:
-                            top |= 1 << w
-                        low[w] |= bit_of[r & 255]
-                    elif have.__class__ is int:
-                        buckets[r] = [have, i]
-                    else:
-                        have.append(i)
-                h = before[i]
-                if h < 0:
-                    continue
-                r = rank_of(ids[h] << shift | rank)
-                if r is not None:
-                    have = get(r)
-                    if have is None:
-                        buckets[r] = h
-                        w = r >> 8
-                        if not low[w]:
-                            top |= 1 << w
-                        low[w] |= bit_of[r & 255]
-                    elif have.__class__ is int:
-                        buckets[r] = [have, h]
-                    else:
-                        have.append(h)
-        return [x for x in ids if x >= 0]
-
-    def _slow(self, word: str) -> str:
-        """Ids of a pre-token, as decimals joined by commas."""
-        out = self.older.get(word) or ",".join(map(str, self.encode_piece(word.encode("utf-8", "replace"))))
-        if len(word) <= CACHE_CHARS:
-            if len(self.known) >= CACHE_SIZE:  # what is met again moves to the new half
-                self.older, self.known = self.known, {}
-            self.known[word] = out
+                    have.append(at[a:b])
+
+        held = np.flatnonzero(rank_at >= 0).astype(np.int32)
+        if len(held):
+            push(held, rank_at[held])
+        del raw, inside, held
+        while queue.top:
+            rank = queue.take()
+            parts = buckets.pop(rank)
+            at = parts[0] if len(parts) == 1 else np.concatenate(parts)
+            at = at[rank_at[at] == rank]  # the others are stale
+            if not len(at):
+                continue
+            if len(at) > 1:
+                at = np.sort(at)
+                at = at[np.concatenate(([True], at[1:] != at[:-1]))]
+            other = after[at]
+            touch = other[:-1] == at[1:]
+            if touch.any():  # of overlapping pairs every second one, from the left
+                place = np.arange(len(at))
+                begin = np.maximum.accumulate(np.where(np.concatenate(([True], ~touch)), place, 0))
+                keep = (place - begin) % 2 == 0
+                at, other = at[keep], other[keep]
+            beyond = after[other]
+            close = beyond[:-1] == at[1:]
+            if close.any():  # between two merges side by side there is a pair for a moment
+                passing = self.right(rank, ids[beyond[:-1][close]])
+                if passing is not None and ((passing >= 0) & (passing < rank)).any():
+                    early.append(at[:-1][close][(passing >= 0) & (passing < rank)])
+            ids[at], ids[other], after[at], before[beyond] = rank, -1, beyond, at
+            rank_at[other] = -1
+            found = self.right(rank, ids[after[at]])
+            rank_at[at] = -1 if found is None else found
+            prior = before[at]  # the first position's is the last wall
+            back = self.left(rank, ids[prior])
+            rank_at[prior] = -1 if back is None else back
+            new = [(x[r >= 0], r[r >= 0]) for x, r in ((at, found), (prior, back)) if r is not None]
+            for x, r in new:
+                if len(x):
+                    push(x, r)
+                    if int(r.min()) < rank:
+                        early.append(x[r < rank])
+        alive = ids >= 0
+        bounds = np.cumsum([0, *np.add.reduceat(alive, start, dtype=np.int64).tolist()]).tolist()
+        flat = ids[alive].tolist()
+        out = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        for i in np.unique(np.searchsorted(start, np.concatenate(early), side="right") - 1).tolist() if early else ():
+            out[i] = self._merge_singly(pieces[i])
         return out
 
-    def encode_joined(self, text: str) -> str:
-        """The text's ids as decimals joined by commas."""
-        known, slow = self.known, self._slow
-        return ",".join([known.get(w) or slow(w) for w in self.split(text)])
+    @cached_property
+    def merged(self) -> dict[tuple[int, int], int]:
+        """Every pair of tokens that makes a token, and that token's rank."""
+        return {(self.ranks[t[:i]], self.ranks[t[i:]]): r for t, r in self.ranks.items() for i in range(1, len(t)) if t[:i] in self.ranks and t[i:] in self.ranks}
+
+    def _merge_singly(self, piece: bytes) -> list[int]:
+        """As :meth:`_merge`, a position at a time; a bucket's rest waits while a lower rank is there."""
+        n, rank_of = len(piece), self.merged.get
+        ids = [*self.byte_id[np.frombuffer(piece, np.uint8)].tolist(), -1]
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        buckets: dict[int, list[int]] = {}
+        queue = _Ranks(self.size)
+
+        def push(i: int) -> None:
+            r = rank_of((ids[i], ids[after[i]]))
+            if r is not None:
+                if r not in buckets:
+                    buckets[r] = []
+                    queue.add(r)
+                heappush(buckets[r], i)
+
+        for i in range(n - 1):
+            push(i)
+        while queue.top:
+            rank = queue.take()
+            bucket = buckets[rank]
+            i = heappop(bucket)
+            if bucket:
+                queue.add(rank)
+            else:
+                del buckets[rank]
+            j = after[i]
+            if ids[i] < 0 or rank_of((ids[i], ids[j])) != rank:
+                continue  # stale
+            k = after[j]
+            ids[i], ids[j], after[i], before[k] = rank, -1, k, i
+            push(i)
+            if before[i] >= 0:
+                push(before[i])
+        return [x for x in ids if x >= 0]
+
+    def encode_texts(self, texts: list[str | None]) -> list[str]:
+        """Every text's ids as decimals joined by commas."""
+        lists = [self.split(t) if t else () for t in texts]
+        known, older = self.known, self.older
+        own = dict.fromkeys(chain.from_iterable(lists))
+        new = []
+        for w in own:
+            have = known.get(w) or older.get(w)
+            if have is None:
+                new.append(w)
+            else:
+                own[w] = have
+        spell = self.spelt.__getitem__
+        for i, ids in self.encode_many([w.encode("utf-8", "replace") for w in new]):
+            own[new[i]] = ",".join(map(spell, ids))
+        if len(known) >= CACHE_SIZE:  # what is met again moves to the new half
+            self.older, self.known = known, {}
+        room = 2 * CACHE_SIZE - len(self.known)
+        for w, out in own.items():
+            if len(w) <= CACHE_CHARS and room > 0:
+                self.known[w] = out
+                room -= 1
+        return [",".join(map(own.__getitem__, pieces)) for pieces in lists]
 
     def encode(self, text: str) -> list[int]:
-        joined = self.encode_joined(text)
+        joined = self.encode_texts([text])[0]
         return list(map(int, joined.split(","))) if joined else []
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        return self.decode_joined(",".join(map(str, ids)))
 
     def decode_joined(self, joined: str) -> bytes:
         return b"".join(map(self.text_of.__getitem__, joined.split(","))) if joined else b""
@@ -187,16 +321,20 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep=("doc_i
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec_of(shared, pattern)
-        for batch in batches:
-            joined = [codec.encode_joined(t) if t else "" for t in batch.column(at).to_pylist()]
-            columns = [batch.column(i) for i in range(len(keep))]
-            columns.append(pa.array([j.count(",") + 1 if j else 0 for j in joined], pa.int64()))
-            if ids:
-                columns.append(pa.array([list(map(int, j.split(","))) if j else [] for j in joined], pa.list_(pa.int32())))
-            if digests:
-                columns.append(pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined], pa.string()))
-                columns.append(pa.array([hashlib.sha256(codec.decode_joined(j)).hexdigest() for j in joined], pa.string()))
-            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *[f.name for f in fields]])
+        for whole in batches:
+            for batch, texts in text_slices(whole, at, TEXT_CHARS):
+                joined = codec.encode_texts(texts)
+                n = np.array([j.count(",") + 1 if j else 0 for j in joined], np.int64)
+                columns = [batch.column(i) for i in range(len(keep))]
+                columns.append(pa.array(n))
+                if ids:
+                    flat = np.fromstring(",".join(j for j in joined if j), np.int32, sep=",") if n.any() else np.zeros(0, np.int32)
+                    columns.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), flat))
+                if digests:
+                    columns.append(pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined], pa.string()))
+                    columns.append(pa.array([hashlib.sha256(codec.decode_joined(j)).hexdigest() for j in joined], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *[f.name for f in fields]])
+        release()
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in kept] + fields)
     extra = [] if at < len(keep) else [F.col("text").cast("string").alias("__text")]

@@ -93,6 +93,33 @@ def mix64(x: np.ndarray) -> np.ndarray:
 _tables: dict[int, np.ndarray] = {}
 
 
+def release() -> None:
+    """Give a Python worker's free memory back; for the end of a task's rows."""
+    import ctypes
+
+    import pyarrow as pa
+
+    _tables.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the GNU library
+        return
+
+
+def text_slices(batch, at: int, chars: int):
+    """(part of the batch, its texts in column ``at``): rows of about ``chars`` characters together, one at least."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.utf8_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, i = np.cumsum(sizes), 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + chars, side="right")))
+        part = batch.slice(i, j - i)
+        yield part, part.column(at).to_pylist()
+        i = j
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 to base**(n-1) modulo 2**64; tables of up to 2 MB entries are kept."""
     have = _tables.get(int(base))
