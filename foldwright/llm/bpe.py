@@ -22,6 +22,7 @@ numbers are those of the ``regex`` module's Unicode version.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterator
 from functools import cached_property
@@ -321,6 +322,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep=("doc_i
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec_of(shared, pattern)
+        gc.disable()  # millions of small objects, none of them in cycles
         for whole in batches:
             for batch, texts in text_slices(whole, at, TEXT_CHARS):
                 joined = codec.encode_texts(texts)
@@ -334,6 +336,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, keep=("doc_i
                     columns.append(pa.array([hashlib.sha256(j.encode()).hexdigest() for j in joined], pa.string()))
                     columns.append(pa.array([hashlib.sha256(codec.decode_joined(j)).hexdigest() for j in joined], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *[f.name for f in fields]])
+        gc.enable()
         release()
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in kept] + fields)

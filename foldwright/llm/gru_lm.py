@@ -11,15 +11,17 @@ all words and one unseen word sum to 1.
 
 Training is truncated backpropagation through time in numpy with Adam; the state is
 carried from window to window of a document but gradients are not.  The ``SAMPLE``
-first documents in hash order of their ids only give the starting weights.  Then come
-``EPOCHS`` rounds over all training documents: every partition learns from all of its
+first documents in hash order of their ids only give the starting weights, by ``EPOCHS``
+passes.  Then come ``ROUNDS`` rounds over all training documents: every partition learns from all of its
 own, from the round's common weights, and the partitions' weights are averaged by their
 tokens, chunk by chunk in tasks, so the driver gets one set of weights a round.
 Scoring carries the state through the whole of every document.
 
-Words travel as 64-bit hashes.  The ``HEAD`` most frequent words have their counts
-broadcast (1 MB; never fewer than the network's), so no task gets a frequent word's rows; the others are joined to
-their counts by word.  Null and empty texts are the end alone; repeated rows get equal
+Words travel as 64-bit hashes.  The ``HEAD`` most frequent training words, and those with
+more than a ``HEAD``-th of all tokens, have their counts broadcast (2 MB at most; never
+fewer than the network's), so no task gets a frequent word's rows; the others are joined
+to their counts by word.  Null and empty texts are the end alone; very long texts are
+scored whole, a window at a time; repeated rows get equal
 scores; an empty training set leaves every token unknown.
 """
 
@@ -30,17 +32,18 @@ from heapq import heapreplace
 from math import isqrt, log10
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, materialize, text_buffer, words_of
+from .common import bucket_of, materialize, release, text_buffer, words_of
 
 VOCAB, HEAD, CLASSES, HIDDEN = 1024, 65_536, 32, 16
-SAMPLE, EPOCHS, BATCH, WINDOW, RATE = 320, 3, 32, 16, 0.01
+SAMPLE, EPOCHS, ROUNDS, BATCH, WINDOW, RATE = 320, 3, 3, 32, 16, 0.01
 #: Training tokens beyond which the network's words grow with the root of their number.
 VOCAB_TOKENS = 1 << 20
 #: Rounds over all documents: streams side by side, tokens held at once, weights a shuffled row.
-LANES, HELD_TOKENS, CHUNK = 512, 4_000_000, 4096
+LANES, HELD_TOKENS, CHUNK = 512, 2_000_000, 4096
 #: The hash that stands for the end of a text.
 END = np.uint64(1)
 _LN10 = np.float64(np.log(10))
@@ -57,16 +60,22 @@ def tokens_of(column):
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
-    """(word, n) over all texts."""
+    """(word, n, m): how often a word is in the texts that aren't held out, and in all."""
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
-                words, n = np.unique(tokens_of(batch.column(0).slice(at, 2048))[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
+                part = batch.slice(at, 2048)
+                hashes, bounds = tokens_of(part.column(0))
+                held = np.repeat(part.column(1).to_numpy(zero_copy_only=False), np.diff(bounds))
+                for own, learnt in ((hashes[~held], 1), (hashes[held], 0)):
+                    words, n = np.unique(own, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n * learnt), pa.array(n)], names=["word", "n", "m"])
+        release()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = docs.select(F.col("text").cast("string").alias("text"), "held_out").mapInArrow(run, "word long, n long, m long")
+    return found.groupBy("word").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -86,12 +95,13 @@ class GatedModel:
         cls[order] = np.unique((mass * classes).astype(np.int64), return_inverse=True)[1] if self.size else 0
         self.cls = np.append(cls, cls.max(initial=-1) + 1)  # the other words are the last class
         self.n_classes = int(self.cls[-1]) + 1
-        self.members = [np.flatnonzero(cls == c) for c in range(self.n_classes - 1)]
+        #: Class ``c`` holds the places ``cuts[c]:cuts[c+1]`` of the words in order of frequency.
+        self.cuts = np.searchsorted(cls[order], np.arange(self.n_classes)).tolist()
         self.place = np.zeros(self.size + 1, np.int64)
-        for m in self.members:
-            self.place[m] = np.arange(len(m))
+        self.place[order] = np.arange(self.size)
         small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-        prior = np.array([counts[m].sum() for m in self.members] + [max(1, tail)], np.float64)
+        counts = counts[order]
+        prior = np.array([counts[a:b].sum() for a, b in zip(self.cuts[:-1], self.cuts[1:])] + [max(1, tail)], np.float64)
         self.p = {"x": small(self.size + 1, 3 * h), "u": small(h, 3 * h), "c": small(h, self.n_classes), "cb": np.log((prior + 1) / (prior.sum() + len(prior))).astype(np.float32), "w": small(self.size, h), "wb": np.log(np.maximum(counts, 1) / max(1, counts.sum())).astype(np.float32)}
 
     def step(self, x: np.ndarray, h: np.ndarray):
@@ -102,71 +112,51 @@ class GatedModel:
         c = np.tanh(x[:, 2 * n :] + (r * h) @ u[:, 2 * n :])
         return h + z * (c - h), z, r, c
 
+    @staticmethod
+    def _softmax(logits: np.ndarray, pick: np.ndarray, slope: bool):
+        """(log of each row's probability of ``pick``, the loss's slope by the logits or None); uses ``logits`` up."""
+        rows = np.arange(len(pick))
+        logits -= logits[rows, pick][:, None]
+        np.minimum(logits, 80, out=logits)
+        np.exp(logits, out=logits)
+        total = logits @ np.ones(logits.shape[1], logits.dtype)
+        if slope:
+            logits /= total[:, None]
+            logits[rows, pick] -= 1
+        return -np.log(total), logits if slope else None
+
     def log_probs(self, h: np.ndarray, to: np.ndarray, grads: dict | None = None, back: np.ndarray | None = None) -> np.ndarray:
         """Natural log of each target's probability in its state; adds gradients of the loss if asked."""
-        p, cls = self.p, self.cls[to]
-        logits = h @ p["c"] + p["cb"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1, keepdims=True)
-        rows = np.arange(len(to))
-        out = logits[rows, cls] - np.log(total[:, 0])
-        if grads is not None:
-            d = e / total
-            d[rows, cls] -= 1
+        p, cls, slope = self.p, self.cls[to], grads is not None
+        order = np.argsort(cls, kind="stable")  # class by class from here
+        h, cls, place = h[order], cls[order], self.place[to][order]
+        logits = h @ p["c"]
+        logits += p["cb"]
+        own, d = self._softmax(logits, cls, slope)
+        if slope:
             grads["c"] += h.T @ d
             grads["cb"] += d.sum(0)
-            back += d @ p["c"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.n_classes + 1))
-        for c, m in enumerate(self.members):
-            at = order[cuts[c] : cuts[c + 1]]
-            if len(m) < 2 or not len(at):
+            up = d @ p["c"].T
+        ends = np.searchsorted(cls, np.arange(self.n_classes + 1)).tolist()
+        for a, b, i, j in zip(self.cuts[:-1], self.cuts[1:], ends[:-1], ends[1:]):
+            if b - a < 2 or i == j:
                 continue
-            own = h[at]
-            logits = own @ p["w"][m].T + p["wb"][m]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1, keepdims=True)
-            pos = self.place[to[at]]
-            out[at] += logits[np.arange(len(at)), pos] - np.log(total[:, 0])
-            if grads is not None:
-                d = e / total
-                d[np.arange(len(at)), pos] -= 1
-                grads["w"][m] += d.T @ own
-                grads["wb"][m] += d.sum(0)
-                back[at] += d @ p["w"][m]
+            logits = h[i:j] @ p["w"][a:b].T
+            logits += p["wb"][a:b]
+            inner, d = self._softmax(logits, place[i:j] - a, slope)
+            own[i:j] += inner
+            if slope:
+                grads["w"][a:b] += d.T @ h[i:j]
+                grads["wb"][a:b] += d.sum(0)
+                up[i:j] += d @ p["w"][a:b]
+        out = np.empty_like(own)
+        out[order] = own
+        if slope:
+            back[order] += up
         return out
 
-    def train(self, texts: list[np.ndarray], epochs: int = EPOCHS, seed: int = 6) -> None:
-        """Texts are id arrays that end with 0."""
-        rng = np.random.default_rng(seed)
-        mean = {k: np.zeros_like(v) for k, v in self.p.items()}
-        square = {k: np.zeros_like(v) for k, v in self.p.items()}
-        turn, hidden = 0, self.p["u"].shape[0]
-        for _ in range(epochs):
-            order = rng.permutation(len(texts))
-            for at in range(0, len(order), BATCH):
-                group = sorted((texts[i] for i in order[at : at + BATCH]), key=len, reverse=True)
-                sizes = np.array([len(t) for t in group])
-                h = np.zeros((len(group), hidden), np.float32)
-                last = np.zeros(len(group), np.int64)
-                for t0 in range(0, int(sizes[0]), WINDOW):
-                    live = int((sizes > t0).sum())
-                    h, last, tape = h[:live], last[:live], []
-                    for t in range(t0, min(t0 + WINDOW, int(sizes[0]))):
-                        n = int((sizes > t).sum())
-                        before = h
-                        new, z, r, c = self.step(self.p["x"][last[:n]], h[:n])
-                        tape.append((n, last[:n], before[:n], z, r, c, new))
-                        h = np.concatenate([new, h[n:]]) if n < len(h) else new
-                        last = np.array([g[t] for g in group[:n]] + [0] * (len(h) - n))
-                        tape[-1] += (last[:n],)
-                    turn += 1
-                    self._learn(tape, mean, square, turn)
-
     def train_packed(self, texts: list[np.ndarray], moments: dict, seed: int = 6) -> None:
-        """One pass over texts as :meth:`train` takes them, laid end to end in lanes.  ``moments`` is kept between calls."""
+        """One pass over id arrays that end with 0, laid end to end in lanes.  ``moments`` is kept between calls."""
         if not moments:
             moments |= {"mean": {k: np.zeros_like(v) for k, v in self.p.items()}, "square": {k: np.zeros_like(v) for k, v in self.p.items()}, "turn": 0}
         rng = np.random.default_rng(seed + moments["turn"])
@@ -219,25 +209,28 @@ class GatedModel:
         """Gradients of one window; they stop at its start and, in packed lanes, at a text's."""
         u, hidden, at = self.p["u"], self.p["u"].shape[0], len(back)
         later = np.zeros((tape[0][0], hidden), np.float32)
-        words, inputs = [], []
+        turned, turned_c = u[:, : 2 * hidden].T.copy(), u[:, 2 * hidden :].T.copy()
+        words, slopes, states, reset = [], [], [], []
         for n, ids, before, z, r, c, _new, _to in reversed(tape):
             at -= n
             dh = later[:n] + back[at : at + n]
-            dz = dh * (c - before) * z * (1 - z)
-            dc = dh * z * (1 - c * c)
-            drh = dc @ u[:, 2 * hidden :].T
-            dr = drh * before * r * (1 - r)
-            gates = np.concatenate([dz, dr], 1)
-            grads["u"][:, : 2 * hidden] += before.T @ gates
-            grads["u"][:, 2 * hidden :] += (r * before).T @ dc
-            words.append(ids), inputs.append(np.concatenate([gates, dc], 1))
-            later[:n] = dh * (1 - z) + drh * r + gates @ u[:, : 2 * hidden].T
+            slope = np.empty((n, 3 * hidden), dh.dtype)
+            keep = 1 - z
+            slope[:, :hidden] = dh * (c - before) * z * keep
+            slope[:, 2 * hidden :] = dc = dh * z * (1 - c * c)
+            drh = dc @ turned_c
+            slope[:, hidden : 2 * hidden] = drh * before * r * (1 - r)
+            words.append(ids), slopes.append(slope), states.append(before), reset.append(r * before)
+            later[:n] = dh * keep + drh * r + slope[:, : 2 * hidden] @ turned
             if packed:
                 later[:n] *= (ids != 0)[:, None]
+        slopes = np.concatenate(slopes)
+        grads["u"][:, : 2 * hidden] += np.concatenate(states).T @ slopes[:, : 2 * hidden]
+        grads["u"][:, 2 * hidden :] += np.concatenate(reset).T @ slopes[:, 2 * hidden :]
         words = np.concatenate(words)
         order = np.argsort(words, kind="stable")
         words, first = np.unique(words[order], return_index=True)
-        grads["x"][words] += np.add.reduceat(np.concatenate(inputs)[order], first)
+        grads["x"][words] += np.add.reduceat(slopes[order], first)
 
     def score(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Natural log-likelihood of each text ``ids[bounds[i]:bounds[i+1]]``, other words as one symbol."""
@@ -262,6 +255,13 @@ class GatedModel:
         return back
 
 
+def _places(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Place of each hash in the sorted words, or their number for one that isn't there."""
+    at = np.searchsorted(words, hashes)
+    at[words[np.minimum(at, len(words) - 1)] != hashes] = len(words)
+    return at
+
+
 def _learn_from_all(model: GatedModel, train: DataFrame, words: np.ndarray, rank: np.ndarray, epochs: int) -> None:
     """Rounds over all texts: the partitions' weights, averaged by their tokens."""
     import pyarrow as pa
@@ -281,9 +281,7 @@ def _learn_from_all(model: GatedModel, train: DataFrame, words: np.ndarray, rank
             for batch in batches:
                 for i in range(0, batch.num_rows, 512):
                     hashes, bounds = tokens_of(batch.column(0).slice(i, 512))
-                    at = np.searchsorted(words, hashes)
-                    at[words[np.minimum(at, len(words) - 1)] != hashes] = len(words)
-                    ids = np.minimum(np.append(rank, model.size)[at], model.size).astype(np.int32)
+                    ids = np.minimum(np.append(rank, model.size)[_places(words, hashes)], model.size).astype(np.int32)
                     texts += [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
                     held, total = held + len(ids), total + len(ids)
                     if held >= HELD_TOKENS:
@@ -291,6 +289,8 @@ def _learn_from_all(model: GatedModel, train: DataFrame, words: np.ndarray, rank
                         texts, held = [], 0
             if texts:
                 model.train_packed(texts, moments, turn)
+            del texts
+            release()
             if total:
                 flat = np.concatenate([model.p[k].ravel() for k in names])
                 for i in range(0, len(flat), CHUNK):
@@ -322,93 +322,73 @@ def score_documents(docs: DataFrame, modulus: int = 7, fold: int = 2) -> DataFra
     held = F.coalesce(bucket_of(F.col("doc_id"), modulus) == fold, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), F.col("text").cast("string").alias("text"))
     train = docs.where(~F.col("held_out"))
-    counts = materialize(count_tokens(train), "lm-counts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n_all, v_all = int(total["n"]), int(total["v"])
+    counts = materialize(count_tokens(docs), "lm-counts")
+    is_end = F.col("word") == int(END)
+    none = F.lit(0).cast("long")
+    n_all, v_all, ends, m_all = counts.agg(*[F.coalesce(x, none) for x in (F.sum("n"), F.count_if(F.col("n") > 0), F.sum(F.when(is_end, F.col("n"))), F.sum("m"))]).first()
+    words_only = counts.where(~is_end)
     grown = int(VOCAB * max(1.0, n_all / VOCAB_TOKENS) ** 0.5)
-    n_head = max(HEAD, grown)
-    head = counts.orderBy(F.desc("n"), "word").limit(n_head).toArrow()
-    words, n = head.column("word").to_numpy().view(np.uint64), head.column("n").to_numpy()
-    is_end = words == END
-    ends = int(n[is_end].sum()) or int(counts.where(F.col("word") == int(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    words, n = np.append(END, words[~is_end]), np.append(ends, n[~is_end])  # the end is word 0
-    vocab = min(grown, len(words)) if n_all else 0
+    head = words_only.where("n > 0").orderBy(F.desc("n"), "word").limit(max(HEAD, grown) - 1).select("word", "n").toArrow()
+    # words that only the other texts are full of; fewer than HEAD can have so many tokens
+    other = words_only.where(F.col("m") * HEAD > m_all).select("word", "n").toArrow()
+    words, n = (np.concatenate([x.column(c).to_numpy() for x in (head, other)]) for c in ("word", "n"))
+    _, first = np.unique(words, return_index=True)
+    first.sort()
+    words, n = np.append(END, words[first].view(np.uint64)), np.append(ends, n[first])  # the end is word 0
+    vocab = min(grown, head.num_rows + 1) if n_all else 0
     n_tail, v_tail = n_all - int(n[:vocab].sum()), v_all - vocab
     model = GatedModel(n[:vocab].astype(np.float64), n_tail, classes=max(CLASSES, isqrt(vocab)))
     order = np.argsort(words)
     words, n, rank = words[order], n[order], order
-    denominators = n_all + v_all + 1, n_tail + v_tail + 1
-
-    def head_ids(hashes):
-        """Place in the sorted head, or its length for other words."""
-        at = np.searchsorted(words, hashes)
-        at[words[np.minimum(at, len(words) - 1)] != hashes] = len(words)
-        return at
+    log_base, log_tail = log10(n_all + v_all + 1), log10(n_tail + v_tail + 1)
 
     if vocab:
-        ids = [r["doc_id"] for r in train.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
-        sample = train.where(F.col("doc_id").isin(ids)).select("text").toArrow().column("text")
+        ids = [r["doc_id"] for r in train.select("doc_id").where("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
+        sample = train.where(F.col("doc_id").isin(ids)).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(SAMPLE).select("text").toArrow().column("text")
         hashes, bounds = tokens_of(sample)
-        own = np.minimum(np.append(rank, vocab)[head_ids(hashes)], vocab)
-        model.train([own[a:b] for a, b in zip(bounds[:-1], bounds[1:])][:SAMPLE])
-        _learn_from_all(model, train, words, rank, EPOCHS)
+        own = np.minimum(np.append(rank, vocab)[_places(words, hashes)], vocab)
+        texts, moments = [own[a:b].astype(np.int32) for a, b in zip(bounds[:-1], bounds[1:])], {}
+        for _ in range(EPOCHS):
+            model.train_packed(texts, moments)
+        _learn_from_all(model, train, words, rank, ROUNDS)
     shared = spark.sparkContext.broadcast((model, words, n, rank))
+    names = ["at", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word"]
 
-    def locate(hashes):
-        _, words, n, rank = shared.value
-        at = np.searchsorted(words, hashes)
-        at[words[np.minimum(at, len(words) - 1)] != hashes] = len(words)
-        return at
-
-    log_base, log_tail = log10(denominators[0]), log10(denominators[1])
-
-    def main(batches):
+    def run(batches):
+        """A row for each document, and one for each of its words beyond the head."""
         model, words, n, rank = shared.value
-        count, ranks = np.append(n, 0), np.append(rank, n_head + 1)
-        gain = np.log10(count + 1.0)
+        gain, ranks = np.log10(np.append(n, 0) + 1.0), np.append(rank, model.size)
+        at_row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
                 hashes, bounds = tokens_of(part.column(2))
-                at = locate(hashes)
+                at = _places(words, hashes)
                 inside = at < len(words)
                 ids = np.minimum(ranks[at], model.size)
-                sums = lambda x: np.add.reduceat(x, bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
+                sums = lambda x: np.add.reduceat(x, bounds[:-1])
                 base = sums(np.where(inside, gain[at] - log_base, 0.0))
                 tail = sums(np.where(inside & (ids == model.size), gain[at] - log_tail, 0.0))
-                known = sums((inside & (count[at] > 0)).astype(np.int64))
+                known = sums((inside & (gain[at] > 0)).astype(np.int64))
                 score = model.score(ids, bounds) / _LN10 + tail
-                columns = [part.column(0), part.column(1), part.column(3), np.diff(bounds), known, base, score]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=["doc_id", "held_out", "mark", "n_tokens", "n_known", "base_score", "score"])
-
-    def rare(batches):
-        _, words, _, _ = shared.value
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                hashes, bounds = tokens_of(part.column(1))
-                hashes[bounds[1:] - 1] = 0  # one mark a row, to tell repeated rows by
-                keep = (locate(hashes) == len(words)) | (hashes == 0)
-                owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))[keep]
-                take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(2).take(take), pa.array(hashes[keep].view(np.int64))], names=["doc_id", "mark", "word"])
-
-    mark = F.xxhash64("text")
-    scored = docs.select("doc_id", "held_out", "text", mark.alias("mark")).mapInArrow(main, "doc_id long, held_out boolean, mark long, n_tokens long, n_known long, base_score double, score double")
-    others = docs.select("doc_id", "text", mark.alias("mark")).mapInArrow(rare, "doc_id long, mark long, word long")
-    c = F.coalesce(F.col("n"), F.lit(0))
-    is_mark = F.col("word") == 0
-    joined = others.join(counts.where(F.col("word") != int(END)), "word", "left").select(
-        "doc_id", "mark",
-        F.when(is_mark, 1).otherwise(0).cast("long").alias("rows"),
-        F.when(~is_mark & (c > 0), 1).otherwise(0).cast("long").alias("known"),
-        F.when(~is_mark, F.log10(c + F.lit(1.0)) - log_base).otherwise(0.0).alias("base"),
-        F.when(~is_mark, F.log10(c + F.lit(1.0)) - log_tail).otherwise(0.0).alias("tail"),
-    )
-    sums = joined.groupBy("doc_id", "mark").agg(*[F.sum(x).alias(x) for x in ("rows", "known", "base", "tail")])
-    sums = sums.select(F.col("doc_id").alias("d"), F.col("mark").alias("m"), (F.col("known") / F.col("rows")).cast("long").alias("known"), (F.col("base") / F.col("rows")).alias("base"), (F.col("tail") / F.col("rows")).alias("tail"))
-    out = scored.join(sums, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("mark").eqNullSafe(F.col("m")), "left")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("tail", F.lit(0.0))).alias("score"),
+                rows = at_row + np.arange(part.num_rows)
+                at_row += part.num_rows
+                columns = [pa.array(rows), part.column(0), part.column(1), pa.array(np.diff(bounds)), pa.array(known), pa.array(base), pa.array(score), pa.nulls(part.num_rows, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                far = np.flatnonzero(~inside)
+                owner = np.searchsorted(bounds, far, side="right") - 1
+                columns = [pa.array(rows[owner]), *[pa.nulls(len(far), c.type) for c in columns[1:-1]], pa.array(hashes[far].view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+        release()
+
+    found = docs.select("doc_id", "held_out", "text").mapInArrow(run, "at long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word long")
+    found = materialize(found, "lm-scores")
+    c = F.coalesce(F.col("n"), none)
+    joined = found.where("word IS NOT NULL").select("at", "word").join(words_only.where("n > 0").select("word", "n"), "word", "left")
+    gain = F.log10(c + F.lit(1.0))
+    sums = joined.groupBy("at").agg(F.sum(F.when(c > 0, 1).otherwise(0)).alias("known"), F.sum(gain - log_base).alias("base"), F.sum(gain - log_tail).alias("tail"))
+    zero = F.lit(0.0)
+    return found.where("word IS NULL").join(sums, "at", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", none)).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
+        (F.col("base_score") + F.coalesce("base", zero)).alias("base_score"), (F.col("score") + F.coalesce("tail", zero)).alias("score"),
     )
