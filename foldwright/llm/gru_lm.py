@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import bucket_of, materialize, release, text_buffer, words_of
 
 VOCAB, HEAD, CLASSES, HIDDEN = 1024, 65_536, 32, 16
-SAMPLE, EPOCHS, ROUNDS, BATCH, WINDOW, RATE = 320, 3, 3, 32, 16, 0.01
+SAMPLE, EPOCHS, ROUNDS, BATCH, WINDOW, RATE = 320, 3, 1, 32, 16, 0.01
 #: Training tokens beyond which the network's words grow with the root of their number.
 VOCAB_TOKENS = 1 << 20
 #: Rounds over all documents: streams side by side, tokens held at once, weights a shuffled row.
