@@ -18,8 +18,14 @@ length (powers of two), over the whole table.
 P-values are rounded up to quarter powers of ten, so each stratum's step-up needs only
 counts by bin: at most strata x bins rows reach the driver, whatever the input.
 
+Work grows in proportion to a text's length, however many matches it has and however
+long they are: matches become rows, a window's running sum gives their positions, every
+statistic is one pass over a token, and running bounds tell overlaps.  Equal texts are
+scanned as one, told apart by two 64-bit hashes.  Only texts with a match are shuffled, over
+``SALTS`` tasks a text where many rows share it.
+
 Positions count code points, ends are exclusive.  Null and empty texts have no spans.
-Rows are handled one by one, so repeated rows and null ids are no matter.
+Rows are handled one by one, so repeated rows, null ids and very long texts are no matter.
 """
 
 from __future__ import annotations
@@ -27,9 +33,11 @@ from __future__ import annotations
 from collections import defaultdict
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: The leftmost longest run is the same whether its length is asked for here or afterwards.
@@ -55,22 +63,63 @@ Z_LIMIT = 3.5
 FALSE_DISCOVERY = 0.05
 BINS_PER_DECADE, MOST_BIN = 4, 60
 
-_SPAN = "array<struct<start:int,kind:int,end:int,group:string>>"
+#: Tasks over which the rows of one text are spread, and characters that masking cuts a text into.
+SALTS, BLOCK = 16, 4096
+_HIT = "array<struct<kind:int,skip:int,n:int,told:int,group:string>>"
+
+
+def _hits(text: Column, pattern: str, kind: int, need: Column, told: Column | None = None, keep: bool = False) -> Column:
+    """A pattern's matches: the characters before each, since the last one, its own, and, if asked, the text of it.
+
+    ``told`` is the list of another group's texts, of which the lengths are kept.
+    """
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    skips = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    both = F.arrays_zip(found.alias("m"), (told if told is not None else found).alias("g"))
+
+    def hit(x, skip):
+        return F.struct(F.lit(kind).alias("kind"), skip.alias("skip"), F.length(x["m"]).alias("n"), F.length(x["g"]).alias("told"), (x["m"] if keep else F.lit("")).alias("group"))
+
+    # the pieces between matches are one more than the matches
+    hits = F.filter(F.zip_with(both, skips, hit), lambda h: h["n"].isNotNull())
+    return F.when(need & text.rlike(pattern), hits).otherwise(F.array()).cast(_HIT)
+
+
+def _needs(text: Column) -> dict[str, Column]:
+    """What a match needs, by cheaper means first."""
+    return {"assign": text.rlike("[:=]"), "access": F.contains(text, F.lit("AKIA")), "any": F.lit(True)}
+
+
+def _has_match(text: Column) -> Column:
+    needs = _needs(text)  # long hexadecimal runs are tokens too
+    return text.rlike(TOKEN) | (needs["access"] & text.rlike(ACCESS)) | (needs["assign"] & text.rlike(ASSIGN))
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """``df`` with the hashes of ``text`` as k1 and k2."""
+    return df.withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
 
 
-def _located(text: Column, pattern: str, matches: Column, groups: Column, kind: int) -> Column:
-    """Spans of a pattern's matches; pieces between them give the positions."""
-    pieces = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out"))
-    parts = F.zip_with(F.slice(pieces, 1, F.size(matches)), F.arrays_zip(matches.alias("m"), groups.alias("g")), lambda p, mg: F.struct(F.length(p).alias("skip"), F.length(mg["m"]).alias("n"), mg["g"].alias("g")))
+def _placed(hits: DataFrame, by: list[str]) -> DataFrame:
+    """Start and end of every hit, from the running sum of what comes before it."""
+    upto = Window.partitionBy(*by).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return hits.withColumn("end", F.sum(F.col("skip") + F.col("n")).over(upto).cast("int")).withColumn("start", F.col("end") - F.col("n"))
 
-    def step(acc, x):
-        start = acc["pos"] + x["skip"]
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["n"]).alias("end"), x["g"].alias("group"))
-        return F.struct((start + x["n"]).alias("pos"), F.concat(acc["out"], F.array(span)).cast(_SPAN).alias("out"))
 
-    found = F.aggregate(parts, zero, step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(_SPAN))
+def _matches(docs: DataFrame) -> DataFrame:
+    """k1, k2, copies, start, kind, end and group of every match of every different text."""
+    text = F.col("text")
+    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(_has_match(text))
+    needs = _needs(text)
+    assigned = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
+    hits = F.concat(
+        _hits(text, ASSIGN, 0, needs["assign"], assigned), _hits(text, ACCESS, 1, needs["access"]),
+        _hits(text, HEX, 2, needs["any"]), _hits(text, TOKEN, 3, needs["any"], keep=True),
+    )
+    rows = _keyed(texts).select("k1", "k2", F.posexplode(hits).alias("pos", "hit")).select("k1", "k2", "pos", "hit.*")
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    placed = _placed(rows, ["k1", "k2", "kind"]).where((F.col("kind") != 0) | (F.col("told") >= MIN_ASSIGNED))
+    return placed.select("k1", "k2", "copies", "start", "kind", "end", "group")
 
 
 def _tail(z: Column) -> Column:
@@ -85,78 +134,70 @@ def _first_of(choices) -> Column:
     return reduce(lambda acc, c: acc.when(c[0], c[1]), choices[1:], F.when(choices[0][0], choices[0][1]))
 
 
-def _battery(tokens: Column) -> list[tuple[str, Column | None]]:
-    """Steps of array expressions from token spans to (start, end, stratum, bin) of those that pass as random."""
-    core = lambda g: F.translate(F.regexp_replace(g, "=+$", ""), "-_", "+/")
-
-    def inferred(s):
-        c = core(s["group"])
-        return F.struct(s["start"], s["end"], c.alias("core"), _first_of([(c.rlike(p), F.lit(e)) for e, (p, _, _) in ENCODINGS.items()]).alias("enc"))
-
-    def indexed(s):
-        alphabet = _first_of([(s["enc"] == e, F.lit(a)) for e, (_, a, _) in ENCODINGS.items()])
-        uneven = _first_of([(s["enc"] == e, F.lit(u)) for e, (_, _, u) in ENCODINGS.items()])
-        index = F.transform(F.split(s["core"], ""), lambda ch: F.instr(alphabet, ch).cast("double") - 1)
-        return F.struct(s["start"], s["end"], s["enc"], index.alias("x"), F.length(alphabet).cast("double").alias("k"), F.length(s["core"]).cast("double").alias("n"), uneven.alias("uneven"))
-
-    def summed(s):
-        x, half = s["x"], s["k"] / 2
-        pairs = F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        squares = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda acc, v: acc + F.pow(F.size(F.filter(x, lambda y: y == v)).cast("double"), F.lit(2)))
-        mean = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v) / s["n"]
+def _parts(tokens: DataFrame) -> DataFrame:
+    """Tokens and, where separators join them, their parts: k1, k2, copies, start, end and the symbols."""
+    group = F.col("group")
+    whole = F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("skip"), F.lit(0).alias("n"), F.lit(0).alias("told"), group.alias("group"))
+    every = F.concat(F.array(whole).cast(_HIT), _hits(group, PART, 3, group.rlike("[+/_-]"), keep=True))
+    rows = tokens.select("k1", "k2", "copies", F.col("start").alias("t_start"), F.col("end").alias("t_end"), F.posexplode(every).alias("pos", "hit")).select("k1", "k2", "copies", "t_start", "t_end", "pos", "hit.*")
+    placed = _placed(rows, ["k1", "k2", "t_start"])
+    is_whole = F.col("kind") == -1
+    start = F.col("t_start") + F.when(is_whole, 0).otherwise(F.col("start"))
+    end = F.when(is_whole, F.col("t_end")).otherwise(F.col("t_start") + F.col("end"))
+    core = F.translate(F.regexp_replace("group", "=+$", ""), "-_", "+/")
+    return placed.select("k1", "k2", "copies", start.alias("start"), end.alias("end"), core.alias("core"))
+
+
+def _battery(tokens: DataFrame) -> DataFrame:
+    """Stratum and bin of every token with an encoding; bin 0 is not random."""
+    of = lambda values: _first_of([(F.col("enc") == e, F.lit(v)) for e, v in values.items()])
+    core = F.col("core")
+    df = tokens.where(F.length("core") >= 16).withColumn("enc", _first_of([(core.rlike(p), F.lit(e)) for e, (p, _, _) in ENCODINGS.items()])).where(F.col("enc").isNotNull())
+    df = df.withColumns({"alphabet": of({e: a for e, (_, a, _) in ENCODINGS.items()}), "uneven": of({e: u for e, (_, _, u) in ENCODINGS.items()}), "n": F.length("core").cast("double")})
+    df = df.withColumn("k", F.length("alphabet").cast("double"))
+    alphabet, half = F.col("alphabet"), F.col("k") / 2
+
+    def step(acc, ch):
+        v = (F.instr(alphabet, ch) - 1).cast("double")
+        last = acc["last"]
         return F.struct(
-            s["start"], s["end"], s["enc"], s["k"], s["n"], s["uneven"],
-            (s["k"] / s["n"] * squares - s["n"]).alias("chi"),
-            F.size(F.filter(x, lambda v: v < half)).cast("double").alias("low"),
-            F.size(F.filter(pairs, lambda p: (p["a"] < half) != (p["b"] < half))).cast("double").alias("switches"),
-            F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + (p["a"] - mean) * (p["b"] - mean)).alias("lagged"),
-            F.aggregate(x, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean)).alias("spread"),
+            F.when(last < 0, v).otherwise(acc["first"]).alias("first"), v.alias("last"),
+            (acc["sum"] + v).alias("sum"), (acc["squares"] + v * v).alias("squares"),
+            (acc["lagged"] + F.when(last < 0, 0.0).otherwise(last * v)).alias("lagged"),
+            (acc["low"] + F.when(v < half, 1.0).otherwise(0.0)).alias("low"),
+            (acc["switches"] + F.when((last >= 0) & ((last < half) != (v < half)), 1.0).otherwise(0.0)).alias("switches"),
         )
 
-    def tested(s):
-        k, n, high = s["k"], s["n"], s["n"] - s["low"]
-        z_chi = (s["chi"] - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n))
-        both = 2 * s["low"] * high
-        z_runs = F.when(both > n, (s["switches"] - both / n) / F.sqrt(both * (both - n) / (n * n * (n - 1)))).otherwise(F.lit(99.0))
-        z_lag = F.when(s["spread"] > 0, (s["lagged"] / s["spread"] + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
-        z_text = (k - 1 + (n - 1) * s["uneven"] - s["chi"]) / F.sqrt(2 * (k - 1) + 4 * n * s["uneven"] * (1 + s["uneven"]))
-        z_switch = (s["switches"] - (n - 1) * TEXT_SWITCH) / F.sqrt((n - 1) * TEXT_SWITCH * (1 - TEXT_SWITCH))
-        fisher = -F.log(_tail(z_text)) - F.log(_tail(z_switch))
-        log10p = (F.log1p(fisher) - fisher) / F.lit(2.302585092994046)
-        bin_ = F.least(F.floor(-log10p * BINS_PER_DECADE), F.lit(MOST_BIN)).cast("int")
-        stratum = F.concat_ws(":", s["enc"], F.floor(F.log2(n)).cast("string"))
-        random = (F.abs(z_chi) <= Z_LIMIT) & (F.abs(z_runs) <= Z_LIMIT) & (F.abs(z_lag) <= Z_LIMIT)
-        return F.struct(s["start"], s["end"], stratum.alias("stratum"), F.when(random, F.greatest(bin_, F.lit(0))).otherwise(F.lit(0)).alias("bin"))
-
-    return [
-        ("tokens", F.filter(F.transform(tokens, inferred), lambda s: s["enc"].isNotNull() & (F.length(s["core"]) >= 16))),
-        ("tokens", F.transform(F.col("tokens"), indexed)),
-        ("tokens", F.transform(F.col("tokens"), summed)),
-        ("tokens", F.transform(F.col("tokens"), tested)),
-    ]
-
-
-def _with_parts(token: Column) -> Column:
-    """A token's span and, where separators join it, those of its parts."""
-    found = F.regexp_extract_all(token["group"], F.lit(PART), F.lit(0))
-    parts = F.transform(_located(token["group"], PART, found, found, 3), lambda p: F.struct((token["start"] + p["start"]).alias("start"), p["kind"], (token["start"] + p["end"]).alias("end"), p["group"]))
-    whole = F.array(token).cast(_SPAN)
-    return F.when(token["group"].rlike("[+/_-]"), F.concat(whole, parts.cast(_SPAN))).otherwise(whole)
-
-
-def _with_tokens(df: DataFrame) -> DataFrame:
-    df = df.withColumn("found", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
-    df = df.withColumn("tokens", _located(F.col("text"), TOKEN, F.col("found"), F.col("found"), 3)).drop("found")
-    df = df.withColumn("tokens", F.flatten(F.transform("tokens", _with_parts)))
-    for name, expr in _battery(F.col("tokens")):
-        df = df.withColumn(name, expr)
-    return df
-
-
-def thresholds(docs: DataFrame) -> dict[str, int]:
-    """Stratum -> least bin that Benjamini and Hochberg's step-up accepts, over all of ``docs``."""
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    counts = _with_tokens(texts).select(F.explode("tokens").alias("t")).groupBy("t.stratum", "t.bin").agg(F.count("*").alias("n")).collect()
+    zero = F.struct(*[F.lit(x).alias(c) for c, x in (("first", -1.0), ("last", -1.0), ("sum", 0.0), ("squares", 0.0), ("lagged", 0.0), ("low", 0.0), ("switches", 0.0))])
+    held = lambda ch: (F.length(core) - F.length(F.replace(core, ch, F.lit("")))).cast("double")
+    df = df.withColumns({
+        "s": F.aggregate(F.split("core", ""), zero, step),
+        "even": F.aggregate(F.split("alphabet", ""), F.lit(0.0), lambda acc, ch: acc + held(ch) * held(ch)),
+    }).select("k1", "k2", "copies", "start", "end", "enc", "uneven", "n", "k", "even", "s.*")
+    k, n, low, switches = (F.col(c) for c in ("k", "n", "low", "switches"))
+    df = df.withColumns({"chi": k / n * F.col("even") - n, "mean": F.col("sum") / n})
+    chi, mean = F.col("chi"), F.col("mean")
+    df = df.withColumns({
+        "spread": F.col("squares") - n * mean * mean,
+        "lagged": F.col("lagged") - mean * (2 * F.col("sum") - F.col("first") - F.col("last")) + (n - 1) * mean * mean,
+        "both": 2 * low * (n - low),
+        "fisher": -F.log(_tail((k - 1 + (n - 1) * F.col("uneven") - chi) / F.sqrt(2 * (k - 1) + 4 * n * F.col("uneven") * (1 + F.col("uneven")))))
+        - F.log(_tail((switches - (n - 1) * TEXT_SWITCH) / F.sqrt((n - 1) * TEXT_SWITCH * (1 - TEXT_SWITCH)))),
+    })
+    both, fisher = F.col("both"), F.col("fisher")
+    z_chi = (chi - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n))
+    z_runs = F.when(both > n, (switches - both / n) / F.sqrt(both * (both - n) / (n * n * (n - 1)))).otherwise(F.lit(99.0))
+    z_lag = F.when(F.col("spread") > 0, (F.col("lagged") / F.col("spread") + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
+    log10p = (F.log1p(fisher) - fisher) / F.lit(2.302585092994046)
+    bin_ = F.greatest(F.least(F.floor(-log10p * BINS_PER_DECADE), F.lit(MOST_BIN)), F.lit(0)).cast("int")
+    random = (F.abs(z_chi) <= Z_LIMIT) & (F.abs(z_runs) <= Z_LIMIT) & (F.abs(z_lag) <= Z_LIMIT)
+    stratum = F.concat_ws(":", "enc", F.floor(F.log2(n)).cast("string"))
+    return df.select("k1", "k2", "copies", "start", "end", stratum.alias("stratum"), F.when(random, bin_).otherwise(0).alias("bin"))
+
+
+def thresholds(tested: DataFrame) -> dict[str, int]:
+    """Stratum -> least bin that Benjamini and Hochberg's step-up accepts, over the tokens of all documents."""
+    counts = tested.groupBy("stratum", "bin").agg(F.sum("copies").alias("n")).collect()
     by: dict[str, dict[int, int]] = defaultdict(dict)
     for r in counts:
         by[r["stratum"]][r["bin"]] = r["n"]
@@ -169,34 +210,48 @@ def thresholds(docs: DataFrame) -> dict[str, int]:
     return out
 
 
-def scan(docs: DataFrame, keep=("doc_id",)) -> DataFrame:
-    """The ``keep`` columns, ``__text`` and ``spans``: array of (start, kind, end), kind an index of KINDS."""
-    limits = thresholds(docs)
-    df = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    none = F.array().cast("array<string>")
-    # what a match needs, by cheaper means first
-    needs = {"assign": F.col("text").rlike("[:=]"), "access": F.contains(F.col("text"), F.lit("AKIA")), "hex": F.lit(True)}
-    for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX)):
-        df = df.withColumn(f"m_{name}", F.when(needs[name], F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
-    df = df.withColumn("g_assign", F.when(F.size("m_assign") > 0, F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))).otherwise(none))
-    text = F.col("text")
-    df = df.withColumn("base", F.concat(
-        F.filter(_located(text, ASSIGN, F.col("m_assign"), F.col("g_assign"), 0), lambda s: F.length(s["group"]) >= MIN_ASSIGNED),
-        _located(text, ACCESS, F.col("m_access"), F.col("m_access"), 1),
-        _located(text, HEX, F.col("m_hex"), F.col("m_hex"), 2),
-    ))
-    df = _with_tokens(df.select(*[f"__{i}" for i in range(len(keep))], "text", "base"))
+def find(docs: DataFrame) -> DataFrame:
+    """A row for each different text with secrets: k1, k2, spans, gaps and last.
+
+    ``spans`` are sorted (start, kind, end), kind an index of KINDS; ``gaps`` the stretches (to, from) of clean
+    text before secrets, and ``last`` the end of the last secret.
+    """
+    matches = materialize(_matches(docs), "secret-matches")
+    tested = materialize(_battery(_parts(matches.where("kind = 3"))), "secret-tests")
+    base = matches.where("kind < 3").select("k1", "k2", "start", "kind", "end")
+    limits = thresholds(tested)
     if limits:
-        least = lambda s: _first_of([(s["stratum"] == k, F.lit(v)) for k, v in sorted(limits.items())])
-        added = F.filter("tokens", lambda s: (s["bin"] >= least(s)) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        least = _first_of([(F.col("stratum") == k, F.lit(v)) for k, v in sorted(limits.items())])
+        passed = tested.where(F.col("bin") >= least).select("k1", "k2", "start", F.lit(3).alias("kind"), "end")
+        one = Window.partitionBy("k1", "k2")
+        is_base = F.col("kind") < 3
+        # a base span that began before ends behind the start, or the next one begins before the end
+        before = F.max(F.when(is_base, F.col("end"))).over(one.orderBy("start", "kind", F.desc("end")).rowsBetween(Window.unboundedPreceding, 0))
+        behind = F.min(F.when(is_base, F.col("start"))).over(one.orderBy(F.desc("start"), "kind").rowsBetween(Window.unboundedPreceding, 0))
+        every = base.unionByName(passed).withColumns({"before": before, "behind": behind})
+        free = (F.coalesce("before", F.lit(-1)) <= F.col("start")) & (F.col("behind").isNull() | (F.col("behind") >= F.col("end")))
+        every = every.where(is_base | free)
         # of a token and its own parts, the widest that passes
-        df = df.withColumn("passed", added)
-        added = F.filter("passed", lambda s: ~F.exists("passed", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"]) & (s["end"] - s["start"] < b["end"] - b["start"])))
-        added = F.transform(added, lambda s: F.struct(s["start"], F.lit(3).alias("kind"), s["end"]))
+        wider = F.max(F.when(~is_base, F.col("end"))).over(one.orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1))
+        every = every.withColumn("wider", wider).where(is_base | F.col("wider").isNull() | (F.col("wider") < F.col("end"))).select("k1", "k2", "start", "kind", "end")
     else:
-        added = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    base = F.transform("base", lambda s: F.struct(s["start"], s["kind"], s["end"]))
-    return df.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(keep)], F.col("text").alias("__text"), F.array_sort(F.concat(base, added)).alias("spans"))
+        every = base
+    reach = F.max("end").over(Window.partitionBy("k1", "k2").orderBy("start", "kind", "end").rowsBetween(Window.unboundedPreceding, -1))
+    every = every.withColumn("reach", F.coalesce(reach, F.lit(0)))
+    gap = F.when(F.col("start") >= F.col("reach"), F.struct(F.col("start").alias("to"), F.col("reach").alias("from")))
+    return every.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"), F.array_sort(F.collect_list(gap)).alias("gaps"), F.max("end").alias("last"))
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """All columns of ``docs`` and ``__found``: spans, gaps and last as in :func:`find`, null for a row without a match."""
+    found = find(docs).select("k1", "k2", F.struct("spans", "gaps", "last").alias("__found"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    names = docs.columns
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("row"), text.alias("text"))
+    hit = _has_match(F.col("text"))
+    some = _keyed(rows.where(hit)).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    some = some.join(found, ["k1", "k2", "salt"], "left").select("row.*", "__found")
+    return some.unionByName(rows.where(~hit).select("row.*", F.lit(None).cast(some.schema["__found"].dataType).alias("__found")))
 
 
 def spelled(spans: Column) -> Column:
@@ -207,7 +262,7 @@ def spelled(spans: Column) -> Column:
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind, base_sha256 and spans of every row."""
-    df = scan(docs).drop("__text")
+    df = scan(docs.select("doc_id", "text")).select("doc_id", F.coalesce("__found.spans", F.array()).alias("spans"))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] < 3)
     return df.select(
@@ -218,14 +273,15 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret replaced by ``mask``; texts without secrets, and nulls, stay as they are."""
-    names = docs.columns
-    df = scan(docs, keep=names)
-    text = F.col("__text")
-    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        new = s["start"] >= acc["pos"]
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(new, F.concat(acc["out"], text.substr(acc["pos"] + 1, s["start"] - acc["pos"]), F.lit(mask))).otherwise(acc["out"]).alias("out"))
-
-    clean = F.aggregate("spans", zero, step, lambda acc: F.concat(acc["out"], text.substr(acc["pos"] + 1, F.length(text))))
-    return df.select(*[F.when(F.size("spans") > 0, clean).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in names])
+    blocks = F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+    df = scan(docs).withColumn("__blocks", F.when(F.col("__found").isNotNull(), blocks))
+
+    def cut(a, b):
+        """Characters a to b, from the blocks that hold them."""
+        first = F.floor(a / BLOCK).cast("int")
+        held = F.slice("__blocks", first + 1, F.floor((b - 1) / BLOCK).cast("int") - first + 1)
+        return F.when(b > a, F.substr(F.array_join(held, ""), a % BLOCK + 1, b - a)).otherwise(F.lit(""))
+
+    kept = F.transform("__found.gaps", lambda g: F.concat(cut(g["from"], g["to"]), F.lit(mask)))
+    clean = F.concat(F.array_join(kept, ""), cut(F.col("__found.last"), F.length("text")))
+    return df.select(*[F.when(F.col("__found").isNotNull(), clean).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in docs.columns])

@@ -85,6 +85,74 @@ def test_redaction(spark):
     assert secret_scan.digests(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_very_long_texts_and_tokens(spark):
+    """Thousands of matches, and one token of a million characters: whole spans, masked whole."""
+    rng = random.Random(12)
+    draw = lambda symbols, n: "".join(rng.choices(symbols, k=n))
+    full = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    many = " é ".join(draw("0123456789abcdef", 40) for _ in range(8000))
+    texts = [many, "x " + draw(full, 1_000_000) + " y", "password=" + "a" * 300_000, "-".join(["abcdefghijklmnopqr"] * 20_000)]
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:1])), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in secret_scan.digests(docs).collect()}
+    for i, text in enumerate(texts):
+        assert got[i]["base_sha256"] == hashlib.sha256(base_spans(text).encode()).hexdigest()
+    assert got[0]["n_hex"] == got[4]["n_hex"] == 8000 and got[3]["n_random"] == 0
+    assert got[1]["spans"] == "" or got[1]["spans"] == "random:2:1000002"
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs).collect()}
+    assert clean[0] == clean[4] == " é ".join(["[SECRET]"] * 8000) and clean[2] == "[SECRET]" and clean[3] == texts[3]
+
+
+def test_random_spans_against_brute_force(spark):
+    """The battery, the step-up over all documents and the choice among overlaps, computed plainly."""
+    rng = random.Random(13)
+    full = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    draw = lambda symbols, n: "".join(rng.choice(symbols) for _ in range(n))
+    bits = [lambda: draw(full, rng.randrange(20, 60)), lambda: "key_" + draw(full[:62], 30), lambda: draw("abcdefghijklmnopqrstuvwxyz_", 25), lambda: "word", lambda: "AKIA" + draw(full[:26] + "0123456789", 16), lambda: draw("0123456789abcdef", 40), lambda: "token=" + draw(full, 24), lambda: "a" * 30 + "1"]
+    texts = [" ".join(rng.choice(bits)() for _ in range(rng.randrange(6))) for _ in range(150)]
+    texts += texts[:10]
+    tail = lambda z: max(1e-30, 0.5 * math.erfc(z / math.sqrt(2)))
+
+    def tested(core):
+        for name, (pattern, alphabet, uneven) in secret_scan.ENCODINGS.items():
+            if re.search(pattern, core):
+                break
+        else:
+            return None
+        k, n, x = len(alphabet), len(core), [alphabet.index(c) for c in core]
+        chi = k / n * sum(v * v for v in Counter(x).values()) - n
+        low, switches = sum(v < k / 2 for v in x), sum((a < k / 2) != (b < k / 2) for a, b in zip(x, x[1:]))
+        mean = sum(x) / n
+        spread, both = sum((v - mean) ** 2 for v in x), 2 * low * (n - low)
+        z = [(chi - k + 1) / math.sqrt(2 * (k - 1) * (1 - 1 / n)), (switches - both / n) / math.sqrt(both * (both - n) / (n * n * (n - 1))) if both > n else 99, (sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / spread + 1 / n) * math.sqrt(n) if spread > 1e-9 else 99]
+        fisher = -math.log(tail((k - 1 + (n - 1) * uneven - chi) / math.sqrt(2 * (k - 1) + 4 * n * uneven * (1 + uneven)))) - math.log(tail((switches - (n - 1) * 0.3) / math.sqrt((n - 1) * 0.21)))
+        b = max(0, min(60, math.floor((fisher - math.log1p(fisher)) / math.log(10) * 4)))
+        return (name, math.floor(math.log2(n))), b if max(map(abs, z)) <= 3.5 else 0
+
+    tokens = []
+    for i, t in enumerate(texts):
+        for m in re.finditer(secret_scan.TOKEN, t):
+            own = [(m.start(), m.end(), m[0])]
+            if re.search("[+/_-]", m[0]):
+                own += [(m.start() + p.start(), m.start() + p.end(), p[0]) for p in re.finditer(secret_scan.PART, m[0])]
+            for a, e, g in own:
+                core = g.rstrip("=").translate(str.maketrans("-_", "+/"))
+                if len(core) >= 16 and (found := tested(core)):
+                    tokens.append((i, a, e, *found))
+    cut = {}
+    for stratum in {t[3] for t in tokens}:
+        bins = [t[4] for t in tokens if t[3] == stratum]
+        passing = [b for b in set(bins) if b > 0 and 10 ** (-b / 4) * len(bins) <= 0.05 * sum(c >= b for c in bins)]
+        cut[stratum] = min(passing, default=99)
+    want = []
+    for i, t in enumerate(texts):
+        base = [tuple(map(int, s.split(":")[1:])) for s in base_spans(t).split(",") if s]
+        free = [(a, e) for j, a, e, s, b in tokens if j == i and b >= cut[s] and not any(x < e and a < y for x, y in base)]
+        want.append(sorted((a, e) for a, e in free if not any(x <= a and e <= y and (x, y) != (a, e) for x, y in free)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: [tuple(map(int, s.split(":")[1:])) for s in r["spans"].split(",") if s.startswith("random")] for r in secret_scan.digests(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == want and sum(map(len, want)) > 50
+
+
 # ------------------------------------------------------------------ language
 
 LANGS = {"aa": ["kala", "mana", "taka", "saka"], "bb": ["chrst", "vlk", "strm", "prst"], "cc": ["éoùa", "çaé", "àéi", "ùé"]}
