@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import tempfile
 import uuid
 
 import numpy as np
@@ -16,13 +18,15 @@ _scratch: dict[str, SparkSession] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``; a local one only where none is set and all is in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
-        found = "/tmp/foldwright-checkpoints"
+        if not str(spark.sparkContext.master).startswith("local["):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that the driver and all executors share")
+        found = os.path.join(tempfile.gettempdir(), "foldwright-checkpoints")
     return found
 
 
@@ -58,6 +62,32 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def salted_join(many: DataFrame, few: DataFrame, on: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """``many`` joined to ``few``, which has a row a key, with every key's rows spread over ``salts`` tasks."""
+    spread = many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    copies = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(copies, [on, "__salt"], how).drop("__salt")
+
+
+def join_by_share(many: DataFrame, few: DataFrame, on: str, rows: str, share: int = 1000) -> DataFrame:
+    """``many`` left-joined to ``few``, which has a row a key with the number ``rows`` of its rows in ``many``.
+
+    Keys that hold more than a ``share``-th of all rows, of which there are fewer than ``share``,
+    are broadcast, so that their rows stay where they are; the others are shuffled.
+    """
+    total = few.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    hot = F.broadcast(few.where(F.col(rows) * share > total))
+    rest = many.join(hot.select(on), on, "left_anti").join(few.where(F.col(rows) * share <= total), on, "left")
+    return rest.unionByName(many.join(hot, on))
+
+
+def drop_table(df: DataFrame) -> None:
+    """Remove a table that :func:`materialize` wrote, if this is one; nothing may read it afterwards."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        for known in [k for k in _scratch if path.endswith(k.split(":", 1)[-1].lstrip("/"))]:
+            _sweep(known)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, text_buffer, words_of
+from .common import join_by_share, materialize, mix64, release, salted_join, text_buffer, words_of
 from .graph import connected_components
 
 #: A list key of a heavy set costs so many times one of a light set: it may need checking in vain.
@@ -49,7 +49,7 @@ HEAVY_WEIGHT = 1.5
 #: Sets up to this size may be light.
 LIGHT_MOST = 40
 #: Shingles that one task checks at once (8 bytes each, and the lists over them).
-GROUP_SHINGLES = 4_000_000
+GROUP_SHINGLES = 1_500_000
 #: Pivots that every chunk of a large group gets, about.
 PIVOTS = 32
 #: Bits of the filter that spares unlinked documents the last shuffle; its size is fixed.
@@ -57,8 +57,9 @@ FILTER_BITS = 1 << 24
 #: Popular shingles are looked for in one row of so many, and so many are kept (1 MB).
 POPULAR_SHARE, POPULAR_MOST = 16, 100_000
 #: Sets that a task remembers, to emit the keys of copies only once.
-SEEN = 500_000
+SEEN = 100_000
 
+#: A shingle's word ``i`` is weighed by the i-th power of the first; the others tell sums apart.
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
@@ -67,8 +68,9 @@ def shingle_sets(column, k: int) -> list[np.ndarray]:
     words, first = words_of(*text_buffer(column))
     n = len(words)
     grams = np.zeros(max(0, n - k + 1), np.uint64)
+    weights = np.cumprod(np.full(max(k, 1), _MULT[0]), dtype=np.uint64)
     for i in range(k):
-        grams += words[i : n - k + 1 + i] * _MULT[i % 8] if len(grams) else grams
+        grams += words[i : n - k + 1 + i] * weights[i] if len(grams) else grams
     grams = mix64(grams)
     out = []
     for a, b in zip(first[:-1], first[1:]):
@@ -76,7 +78,7 @@ def shingle_sets(column, k: int) -> list[np.ndarray]:
             g = np.sort(grams[a : b - k + 1])
             out.append(g[np.concatenate([[True], g[1:] != g[:-1]])])
         elif b > a:
-            whole = words[a:b] * _MULT[np.arange(b - a) % 8]
+            whole = words[a:b] * weights[: b - a]
             out.append(mix64(whole.sum(keepdims=True, dtype=np.uint64) + _MULT[[7]] * np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
@@ -190,6 +192,7 @@ def _scan(docs: DataFrame, k: int, handle, schema: str) -> DataFrame:
                     seen.clear()
                 if columns is not None:
                     yield pa.RecordBatch.from_arrays(columns, names=names)
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
@@ -210,7 +213,11 @@ def sized(docs: DataFrame, k: int) -> DataFrame:
 
 
 def keyed(docs: DataFrame, k: int, keys: Keys) -> DataFrame:
-    """(key, short) of every set; a set that a task meets again emits nothing more."""
+    """(key, short) of every set; a set that a task meets again emits nothing more.
+
+    A key that several sets of a slice share goes on with the least of them alone; the others are
+    tied to it by a key of the two of them.  So a key has a row a slice at most, however many sets share it.
+    """
     import pyarrow as pa
 
     def handle(ids, sets, seen):
@@ -225,7 +232,16 @@ def keyed(docs: DataFrame, k: int, keys: Keys) -> DataFrame:
             owners += [a] * len(own)
         if not out:
             return None
-        return [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.repeat(np.array(owners, np.int64), [len(o) for o in out]))]
+        key, short = np.concatenate(out), np.repeat(np.array(owners, np.int64), [len(o) for o in out])
+        order = np.lexsort((short, key))
+        key, short = key[order], short[order]
+        first = np.concatenate(([True], key[1:] != key[:-1]))
+        if not first.all():
+            leader = short[np.flatnonzero(first)[np.cumsum(first) - 1]]
+            tied = np.unique(np.stack([leader, short], 1)[~first & (leader != short)], axis=0)
+            own = mix64(mix64(tied[:, 0].view(np.uint64).copy()) + tied[:, 1].view(np.uint64).copy())
+            key, short = np.concatenate([key[first], own, own]), np.concatenate([short[first], tied[:, 0], tied[:, 1]])
+        return [pa.array(key.view(np.int64)), pa.array(short)]
 
     return _scan(docs, k, handle, "key long, short long")
 
@@ -314,10 +330,12 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     edges = leader.where(F.col("leader") != F.col("short")).select(F.col("short").alias("u"), F.col("leader").alias("v"))
     groups = materialize(connected_components(edges, "ngram-candidates"), "ngram-groups").withColumnsRenamed({"node": "short", "label": "grp"})
 
-    nodes = sizes.where("n_shingles > 0").groupBy("node", "short", "n_shingles").agg(F.min("doc_id").alias("least"))
+    nodes = sizes.where("n_shingles > 0").groupBy("node", "short", "n_shingles").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    nodes = materialize(nodes, "ngram-nodes")
     weight = groups.join(nodes, "short").groupBy("grp").agg(F.sum("n_shingles").alias("w"), F.count("*").alias("docs"))
-    n_chunks = F.when(F.col("w") <= GROUP_SHINGLES, 1).otherwise(F.ceil(F.col("w") * 2 / GROUP_SHINGLES)).cast("int")
-    groups = materialize(groups.join(weight.select("grp", n_chunks.alias("chunks"), "docs"), "grp"), "ngram-weighed")
+    large = weight.where(F.col("w") > GROUP_SHINGLES).select("grp", F.ceil(F.col("w") * 2 / GROUP_SHINGLES).cast("int").alias("chunks"), "docs")
+    weighed = salted_join(groups, large, "grp", "short", "left")
+    groups = materialize(weighed.select("short", "grp", F.coalesce("chunks", F.lit(1)).alias("chunks"), F.coalesce("docs", F.lit(1)).alias("docs")), "ngram-weighed")
 
     # a bit filter of fixed size tells most tasks' rows that no one will ask for their set
     bit = F.pmod(F.col("short"), F.lit(FILTER_BITS))
@@ -361,18 +379,17 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
         within = nodes.join(large, "short").select("grp", "node", "n_shingles")
         within = materialize(within.join(connected_components(so_far, "ngram-first"), "node", "left").withColumn("label", F.coalesce("label", "node")), "ngram-within")
         largest = within.groupBy("grp", "label").count().groupBy("grp").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        rest = within.join(largest, "grp").where(F.col("label") != F.col("main"))
+        rest = materialize(salted_join(within, largest, "grp", "node").where(F.col("label") != F.col("main")), "ngram-rest")
         rest_chunks = rest.groupBy("grp").agg(F.ceil(F.sum("n_shingles") * 2 / GROUP_SHINGLES).cast("int").alias("rests"))
-        told = members.where("chunks > 1").join(rest_chunks, "grp").join(rest.select("node", F.lit(True).alias("outside")), "node", "left")
+        told = salted_join(members.where("chunks > 1"), rest_chunks, "grp", "node").join(rest.select("node", F.lit(True).alias("outside")), "node", "left")
         as_chunk = told.withColumn("part", F.col("mine")).withColumn("rest", F.explode(upto(F.col("rests"))))
         as_rest = told.where("outside").withColumn("part", F.explode(upto(F.col("chunks")))).withColumn("rest", F.pmod(F.xxhash64("node", F.lit(2)), F.col("rests")).cast("int"))
         second = as_chunk.unionByName(as_rest).groupBy("grp", "part", "rest").applyInArrow(checked, links)
         whole = whole.unionAll(connected_components(so_far.unionAll(second.select("u", "v")), "ngram-split"))
-    named = whole.join(nodes.select("node", "least"), "node")
-    least = named.groupBy("label").agg(F.min("least").alias("component"))
-    component = whole.join(least, "label").select("node", "component")
-    own = nodes.select("node", "least").join(component, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
-    return (
-        sizes.join(own, "node", "left")
-        .select("doc_id", "n_shingles", F.coalesce(F.col("component"), F.col("doc_id")).alias("component_id"))
-    )
+    whole = materialize(whole, "ngram-whole")
+    least = whole.join(nodes.select("node", "least"), "node").groupBy("label").agg(F.min("least").alias("component"))
+    component = salted_join(whole, least, "label", "node").select("node", "component")
+    own = nodes.select("node", "least", "copies").join(component, "node", "left").select("node", F.coalesce("component", "least").alias("component"), "copies")
+    rows = sizes.select("doc_id", "n_shingles", "node")
+    found = join_by_share(rows.where("n_shingles > 0"), materialize(own, "ngram-own"), "node", "copies").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return found.unionAll(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
