@@ -33,10 +33,12 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a glob, as a stream reads folders and the table may be one file
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")
     rows = windowed(stream.withColumn("ts", C("ts").cast("timestamp")), CATALOG["bid_stats"], tumbling(C("ts"), "1 day"), {"g": C("event_type")}, cents("value").cast("decimal(18,0)"))
-    name = "t" + uuid.uuid4().hex
-    query = rows.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    place = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    # each batch replaces the table; nothing is held by the driver
+    query = rows.writeStream.outputMode("complete").foreachBatch(lambda part, _: part.write.mode("overwrite").parquet(place)).option("checkpointLocation", place + "-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    done = spark.table(name)
+    done = spark.read.schema(rows.schema).parquet(place)
     return done.select(F.unix_micros("start").alias("day"), "g", C("s_1").alias("n"), C("s_0").cast("bigint").alias("total"), C("s_2").cast("bigint").alias("lo"), C("s_3").cast("bigint").alias("hi"))
 
 
@@ -113,6 +115,28 @@ def m_merge_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, status string, merge string, kinds array<string>")
 
 
+#: Which aggregates of the catalogue merge as written is known beforehand; all others do.
+_OTHERS = {"clickstream": "lifted", "ohlc": "lifted", "telemetry": "lifted", "hourly_avg": "ordered", "raster": "ordered"}
+_STATUS = ", ".join(f"('{n}', '{_OTHERS.get(n, 'merged')}')" for n in CATALOG)
+
+
+@register("m_merge_status", f"SELECT name, status FROM (VALUES {_STATUS}) AS t(name, status)")
+def m_merge_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every aggregate of the catalogue is evaluated."""
+    return spark.createDataFrame([(n, derive_merge(f).status) for n, f in CATALOG.items()], "name string, status string")
+
+
+#: The one of the textbook folds whose state is enough on rows that can occur.
+_MERGEABLE = "maximum_prefix_sum"
+_VERDICTS = ", ".join(f"('{n}', {str(n != _MERGEABLE).lower()})" for n in CLASSICS)
+
+
+@register("x_verdicts", f"SELECT name, refuted FROM (VALUES {_VERDICTS}) AS t(name, refuted)")
+def x_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each textbook fold is refuted."""
+    return spark.createDataFrame([(n, refute(f, cases=4000) is not None) for n, f in CLASSICS.items()], "name string, refuted boolean")
+
+
 @register("x_classics")
 def x_classics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on folds that are known not to merge."""

@@ -123,16 +123,16 @@ class Aggregate:
 
     def prepared(self, df: DataFrame) -> DataFrame:
         """``df`` with a group-wide value for the leaves that need one."""
-        if not self.keys:
-            w = Window.partitionBy(F.lit(0))
-        else:
-            w = Window.partitionBy(*self.keys.values())
+        wanted = {}
         for s in self.derivation.shapes:
             if s.kind == "freeze_sum":
-                df = df.withColumn("__stop", F.min(F.when(self._col(s.cond), self.order)).over(w))
+                wanted["__stop"] = F.min(F.when(self._col(s.cond), self.order))
             if s.kind == "prefix_sum_at":
-                df = df.withColumn("__last", F.max(F.when(self._col(s.cond), self.order)).over(w))
-        return df
+                wanted["__last"] = F.max(F.when(self._col(s.cond), self.order))
+        if not self.keys:  # one value for all: no task gets every row
+            return df.withColumns({n: df.agg(c.alias(n)).scalar() for n, c in wanted.items()})
+        w = Window.partitionBy(*self.keys.values())
+        return df.withColumns({n: c.over(w) for n, c in wanted.items()})
 
     # ------------------------------------------------------------ plans
 
@@ -145,21 +145,43 @@ class Aggregate:
         return self.prepared(df).groupBy(*[c.alias(k) for k, c in self.keys.items()]).agg(*aggs)
 
     def over(self, window) -> dict[str, Column]:
-        """The leaves as window functions, for frames that end at the current row."""
+        """The leaves as window functions, for frames that begin with the group and end at the current row.
+
+        Raises for leaves that have no such form: maps, vectors, and what is folded in order.
+        """
         out = {}
         for s in self.derivation.shapes:
-            zero, e = s.leaf.init, self._col(s.e) if s.e is not None and s.kind in ("sum", "max", "min", "or", "and") else None
-            if s.kind == "sum":
-                c = F.coalesce(F.sum(e if not isinstance(s.e, Lit) else F.lit(s.e.value)).over(window), F.lit(0))
-                out[self.column_name(s)] = (c + F.lit(zero) if zero else c).cast("bigint") if isinstance(s.e, Lit) else c + F.lit(zero) if zero else c
-            elif s.kind in ("max", "min"):
-                e = F.when(self._col(s.cond), e) if s.cond is not None else e
-                c = (F.max if s.kind == "max" else F.min)(e).over(window)
-                out[self.column_name(s)] = c if zero in (float("inf"), float("-inf")) else (F.greatest if s.kind == "max" else F.least)(F.lit(zero), c)
-            elif s.kind in ("or", "and"):
-                out[self.column_name(s)] = F.coalesce((F.bool_or if s.kind == "or" else F.bool_and)(e).over(window), F.lit(zero))
-            elif s.kind == "keep":
-                out[self.column_name(s)] = F.lit(zero)
+            name, zero, k = self.column_name(s), s.leaf.init, s.kind
+            e = self._col(s.e) if s.e is not None and k not in ("append", "prepend", "keep") else None
+            cond = self._col(s.cond) if s.cond is not None else None
+            guarded = F.when(cond, e) if cond is not None and e is not None else e
+            if k == "sum":
+                c = F.coalesce(F.sum(F.lit(s.e.value) if isinstance(s.e, Lit) else e).over(window), F.lit(0))
+                c = c + F.lit(zero) if zero else c
+                out[name] = c.cast("bigint") if isinstance(s.e, Lit) else c
+            elif k in ("max", "min"):
+                c = (F.max if k == "max" else F.min)(guarded).over(window)
+                out[name] = c if zero in (float("inf"), float("-inf")) else (F.greatest if k == "max" else F.least)(F.lit(zero), c)
+            elif k in ("or", "and"):
+                out[name] = F.coalesce((F.bool_or if k == "or" else F.bool_and)(e).over(window), F.lit(zero))
+            elif k == "keep":
+                out[name] = F.lit(zero)
+            elif k == "last":
+                out[name] = self._zero(s, F.last(e).over(window))
+            elif k == "last_if":
+                out[name] = self._zero(s, F.last(F.when(cond, F.struct(e.alias("v"))), ignorenulls=True).over(window)["v"])
+            elif k == "first":
+                taken = F.struct(e.alias("v"))
+                out[name] = self._zero(s, F.first(F.when(cond, taken) if cond is not None else taken, ignorenulls=True).over(window)["v"])
+            elif k in ("arg_max", "arg_min"):
+                rank = F.struct(self._col(s.key), -self.order if k == "arg_max" else self.order)
+                out[name] = self._zero(s, (F.max_by if k == "arg_max" else F.min_by)(e, rank).over(window))
+            elif k == "set_add":
+                out[name] = F.array_sort(F.collect_set(guarded).over(window))
+            elif k == "set_union":
+                out[name] = F.array_sort(F.array_distinct(F.flatten(F.collect_list(guarded).over(window))))
+            else:
+                raise ValueError(f"{name}: {k} has no form as a window function")
         return out
 
     def entries(self, df: DataFrame, path: tuple = ()) -> DataFrame:

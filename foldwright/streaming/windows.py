@@ -2,8 +2,8 @@
 
 A window is one more grouping key, so a fold's built-in leaves run in tumbling, sliding
 and session windows with the engine's own partial states, late rows being dropped by the
-watermark.  Leaves that need a group-wide value first, and ordered evaluation, are for
-batches only.
+watermark.  Leaves that need a group-wide value first are for batches only, and not for
+sessions, whose bounds aren't known row by row.
 """
 
 from __future__ import annotations
@@ -38,6 +38,12 @@ def windowed(df: DataFrame, fold: Fold, window: Column, keys: dict[str, Column],
         raise ValueError(f"{fold.name} can't run on a stream: {sorted(kinds - STREAMABLE)}")
     if late:
         df = df.withWatermark(*late)
+    if kinds & {"freeze_sum", "prefix_sum_at"}:  # these need a value of the whole window first
+        if "session_window" in str(window):
+            raise ValueError(f"{fold.name} can't run in sessions: their bounds aren't known row by row")
+        df = df.withColumn("__w", window)
+        agg = Aggregate(fold, {"__w": F.col("__w"), **keys}, row, order)
+        df, window = agg.prepared(df), F.col("__w")
     aggs = [agg.native(s).alias(agg.column_name(s)) for s in agg.derivation.shapes]
     out = df.groupBy(window.alias("w"), *[c.alias(k) for k, c in keys.items()]).agg(*aggs)
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *keys, *[agg.column_name(s) for s in agg.derivation.shapes])

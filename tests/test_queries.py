@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foldwright.lang.evaluate import compile_expr
@@ -97,3 +98,58 @@ def test_collected_states(spark):
     assert Aggregate(CATALOG["counter"], {"g": F.col("k")}, F.col("v"), F.col("o")).collected(df).first()["s"] == {5: 2, 6: 1}
     vectors = spark.createDataFrame([(1, [1, 2, 3, 4, 5, 6]), (1, [1, 1, 1, 1, 1, 1])], "k bigint, v array<bigint>")
     assert Aggregate(CATALOG["vector_sum"], {"g": F.col("k")}, F.col("v")).collected(vectors, (0,)).first()["s"] == [2, 3, 4, 5, 6]
+
+
+def test_windows_of_prepared_leaves(spark):
+    """Sums that stop at a row, and running sums kept at some, in tumbling and sliding batch windows."""
+    from foldwright.streaming.windows import session, sliding, tumbling, windowed
+
+    rows = [(i, f"2024-01-01 00:{i:02d}:00", float((i * 7) % 5)) for i in range(50)]
+    df = spark.createDataFrame(rows, "o bigint, t string, v double").withColumn("t", F.to_timestamp("t"))
+    f = CATALOG["harmonic_mean"]
+    for window, length, every in ((tumbling(F.col("t"), "10 minutes"), 10, 10), (sliding(F.col("t"), "20 minutes", "10 minutes"), 20, 10)):
+        got = {r["start"].minute if r["start"].year == 2024 else -10: (r["s_0"], r["s_2"]) for r in windowed(df, f, window, {}, F.col("v"), F.col("o")).where("start >= '2024-01-01'").collect()}
+        for start in range(0, 50, every):
+            vs = [v for o, _, v in rows if start <= o < start + length]
+            stop = next((i for i, v in enumerate(vs) if v == 0), len(vs))
+            assert got[start] == (stop, stop < len(vs))
+    with pytest.raises(ValueError):
+        windowed(df, f, session(F.col("t"), "5 minutes"), {}, F.col("v"), F.col("o")).count()
+
+
+@pytest.mark.parametrize("name", ["average", "vehicle_stats", "bid_stats", "count_latest"])
+def test_running_states(name, spark):
+    """Every leaf as a window function, against the plain fold after every row."""
+    f = CATALOG[name]
+    s = Sampler(4)
+    rows = [(i, s.value(f.row)) for i in range(25)]
+    arity = len(f.row.args) if f.row.kind == "tuple" else 0
+    types = [{"num": "bigint", "str": "string", "bool": "boolean"}[t.kind] for t in (f.row.args if arity else (f.row,))]
+    df = spark.createDataFrame([(o, *(v if arity else (v,))) for o, v in rows], "o bigint, " + ", ".join(f"c{i} {t}" for i, t in enumerate(types)))
+    row = tuple(F.col(f"c{i}") for i in range(arity)) if arity else F.col("c0")
+    agg = Aggregate(f, {}, row, F.col("o"))
+    columns = agg.over(Window.orderBy("o").rowsBetween(Window.unboundedPreceding, 0))
+    assert len(columns) == len(agg.derivation.shapes)
+    got = [list(r) for r in df.select("o", *[c.alias(n) for n, c in columns.items()]).orderBy("o").collect()]
+    step, zero = s.stepper(f), compile_expr(f.init)({})
+    for i in range(25):
+        want = step(zero, [v for _, v in rows[: i + 1]])
+        flat = []
+        for leaf in agg.derivation.shapes:
+            x = want
+            for j in leaf.leaf.path:
+                x = x[j]
+            flat.append(sorted(x) if isinstance(x, frozenset) else x)
+        assert got[i][1:] == flat
+
+
+def test_running_states_raise_for_the_rest(spark):
+    with pytest.raises(ValueError):
+        Aggregate(CATALOG["counter"], {}, F.col("v"), F.col("o")).over(Window.orderBy("o"))
+
+
+def test_stops_without_keys(spark):
+    df = spark.createDataFrame([(i, float((i * 3) % 11)) for i in range(1, 30)], "o bigint, v double")
+    agg = Aggregate(CATALOG["harmonic_mean"], {}, F.col("v"), F.col("o"))
+    assert list(agg.scalars(df).select("s_0", "s_2").first()) == [10, True]
+    assert "SinglePartition" in agg.scalars(df)._jdf.queryExecution().executedPlan().toString() and "Window" not in agg.scalars(df)._jdf.queryExecution().executedPlan().toString()
