@@ -15,7 +15,8 @@ first documents in hash order of their ids only give the starting weights, by ``
 passes.  Then come ``ROUNDS`` rounds over all training documents: every partition learns from all of its
 own, from the round's common weights, and the partitions' weights are averaged by their
 tokens, chunk by chunk in tasks, so the driver gets one set of weights a round.
-Scoring carries the state through the whole of every document.
+Learning starts anew every ``PIECE`` tokens of a long document, so that no stream is much
+longer than the others; scoring carries the state through the whole of every document.
 
 Words travel as 64-bit hashes.  The ``HEAD`` most frequent training words, and those with
 more than a ``HEAD``-th of all tokens, have their counts broadcast (2 MB at most; never
@@ -42,8 +43,11 @@ VOCAB, HEAD, CLASSES, HIDDEN = 1024, 65_536, 32, 16
 SAMPLE, EPOCHS, ROUNDS, BATCH, WINDOW, RATE = 320, 3, 1, 32, 16, 0.01
 #: Training tokens beyond which the network's words grow with the root of their number.
 VOCAB_TOKENS = 1 << 20
-#: Rounds over all documents: streams side by side, tokens held at once, weights a shuffled row.
-LANES, HELD_TOKENS, CHUNK = 512, 2_000_000, 4096
+#: Streams that are learnt from side by side, tokens that the state is carried over there, tokens held at once, weights
+#: a shuffled row.
+LANES, PIECE, HELD_TOKENS, CHUNK = 512, 2048, 2_000_000, 4096
+#: A partition of so few windows that it gives fewer steps is gone over again, up to ``EPOCHS`` times.
+LEAST_STEPS = 100
 #: The hash that stands for the end of a text.
 END = np.uint64(1)
 _LN10 = np.float64(np.log(10))
@@ -160,28 +164,30 @@ class GatedModel:
         if not moments:
             moments |= {"mean": {k: np.zeros_like(v) for k, v in self.p.items()}, "square": {k: np.zeros_like(v) for k, v in self.p.items()}, "turn": 0}
         rng = np.random.default_rng(seed + moments["turn"])
-        lanes = min(LANES, max(BATCH, len(texts) // 8), len(texts))
+        # what comes before each token; 0 starts a text, or a piece of a long one, without a state
+        pieces = [(text[i : i + PIECE], np.append(0, text[i : i + PIECE - 1][: len(text) - i - 1])) for text in texts for i in range(0, len(text), PIECE)]
+        lanes = min(LANES, max(BATCH, len(pieces) // 8), len(pieces))
         fill, held = [(0, i) for i in range(lanes)], [[] for _ in range(lanes)]
-        for text in sorted(texts, key=len, reverse=True):  # the longest first, each to the emptiest lane
+        for piece in sorted(pieces, key=lambda x: -len(x[0])):  # the longest first, each to the emptiest lane
             n, i = fill[0]
-            heapreplace(fill, (n + len(text), i))
-            held[i].append(text)
+            heapreplace(fill, (n + len(piece[0]), i))
+            held[i].append(piece)
         for lane in held:
             rng.shuffle(lane)
-        streams = sorted((np.concatenate(lane) for lane in held), key=len, reverse=True)
-        sizes = np.array([len(x) for x in streams])
-        ids, start = np.concatenate(streams), np.cumsum(sizes) - sizes
+        held.sort(key=lambda lane: -sum(len(x[0]) for x in lane))
+        sizes = np.array([sum(len(x[0]) for x in lane) for lane in held])
+        ids, prior = (np.concatenate([x[k] for lane in held for x in lane]) for k in (0, 1))
+        start = np.cumsum(sizes) - sizes
         live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")
-        h, last = np.zeros((lanes, self.p["u"].shape[0]), np.float32), np.zeros(lanes, np.int64)
+        h = np.zeros((lanes, self.p["u"].shape[0]), np.float32)
         for t0 in range(0, len(live), WINDOW):
             tape = []
             for t in range(t0, min(t0 + WINDOW, len(live))):
                 n = int(live[t])
-                before = h[:n] * (last[:n] != 0)[:, None]  # a text starts after an end, without a state
-                h, z, r, c = self.step(self.p["x"][last[:n]], before)
-                to = ids[start[:n] + t]
-                tape.append((n, last[:n], before, z, r, c, h, to))
-                last = to
+                last = prior[start[:n] + t]
+                before = h[:n] * (last != 0)[:, None]
+                h, z, r, c = self.step(self.p["x"][last], before)
+                tape.append((n, last, before, z, r, c, h, ids[start[:n] + t]))
             moments["turn"] += 1
             self._learn(tape, moments["mean"], moments["square"], moments["turn"], packed=True, share=sum(len(x[7]) for x in tape) / (lanes * WINDOW))
 
@@ -287,8 +293,10 @@ def _learn_from_all(model: GatedModel, train: DataFrame, words: np.ndarray, rank
                     if held >= HELD_TOKENS:
                         model.train_packed(texts, moments, turn)
                         texts, held = [], 0
-            if texts:
+            for _ in range(EPOCHS if texts else 0):
                 model.train_packed(texts, moments, turn)
+                if moments["turn"] >= LEAST_STEPS:
+                    break
             del texts
             release()
             if total:
@@ -359,6 +367,18 @@ def score_documents(docs: DataFrame, modulus: int = 7, fold: int = 2) -> DataFra
         model, words, n, rank = shared.value
         gain, ranks = np.log10(np.append(n, 0) + 1.0), np.append(rank, model.size)
         at_row = TaskContext.get().partitionId() << 33
+
+        def scored(held):
+            """The rows of some slices, whose texts go through the network together."""
+            counts = np.concatenate([h[1] for h in held])
+            score = model.score(np.concatenate([h[0] for h in held]), np.concatenate([[0], np.cumsum(counts)])) / _LN10
+            i = 0
+            for _, n, columns, tail in held:
+                columns += [pa.array(score[i : i + len(n)] + tail), pa.nulls(len(n), pa.int64())]
+                i += len(n)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+        held, n_held = [], 0
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
@@ -370,15 +390,19 @@ def score_documents(docs: DataFrame, modulus: int = 7, fold: int = 2) -> DataFra
                 base = sums(np.where(inside, gain[at] - log_base, 0.0))
                 tail = sums(np.where(inside & (ids == model.size), gain[at] - log_tail, 0.0))
                 known = sums((inside & (gain[at] > 0)).astype(np.int64))
-                score = model.score(ids, bounds) / _LN10 + tail
                 rows = at_row + np.arange(part.num_rows)
                 at_row += part.num_rows
-                columns = [pa.array(rows), part.column(0), part.column(1), pa.array(np.diff(bounds)), pa.array(known), pa.array(base), pa.array(score), pa.nulls(part.num_rows, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
                 far = np.flatnonzero(~inside)
                 owner = np.searchsorted(bounds, far, side="right") - 1
-                columns = [pa.array(rows[owner]), *[pa.nulls(len(far), c.type) for c in columns[1:-1]], pa.array(hashes[far].view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                columns = [pa.array(rows), part.column(0), part.column(1), pa.array(np.diff(bounds)), pa.array(known), pa.array(base)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[owner]), *[pa.nulls(len(far), c.type) for c in columns[1:]], pa.nulls(len(far), pa.float64()), pa.array(hashes[far].view(np.int64))], names=names)
+                held.append((ids.astype(np.int32), np.diff(bounds), columns, tail))
+                n_held += len(ids)
+                if n_held >= HELD_TOKENS:
+                    yield from scored(held)
+                    held, n_held = [], 0
+        if held:
+            yield from scored(held)
         release()
 
     found = docs.select("doc_id", "held_out", "text").mapInArrow(run, "at long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word long")
