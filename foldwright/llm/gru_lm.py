@@ -48,6 +48,8 @@ VOCAB_TOKENS = 1 << 20
 LANES, PIECE, HELD_TOKENS, CHUNK = 512, 2048, 2_000_000, 4096
 #: A partition of so few windows that it gives fewer steps is gone over again, up to ``EPOCHS`` times.
 LEAST_STEPS = 100
+#: Rows that a softmax over classes takes at once.
+BLOCK = 1024
 #: The hash that stands for the end of a text.
 END = np.uint64(1)
 _LN10 = np.float64(np.log(10))
@@ -134,13 +136,16 @@ class GatedModel:
         p, cls, slope = self.p, self.cls[to], grads is not None
         order = np.argsort(cls, kind="stable")  # class by class from here
         h, cls, place = h[order], cls[order], self.place[to][order]
-        logits = h @ p["c"]
-        logits += p["cb"]
-        own, d = self._softmax(logits, cls, slope)
-        if slope:
-            grads["c"] += h.T @ d
-            grads["cb"] += d.sum(0)
-            up = d @ p["c"].T
+        own, up = np.empty(len(to), h.dtype), np.empty_like(h) if slope else None
+        for i in range(0, len(to), BLOCK):  # so many rows of logits stay in a core's own cache
+            some = h[i : i + BLOCK]
+            logits = some @ p["c"]
+            logits += p["cb"]
+            own[i : i + BLOCK], d = self._softmax(logits, cls[i : i + BLOCK], slope)
+            if slope:
+                grads["c"] += some.T @ d
+                grads["cb"] += d.sum(0)
+                up[i : i + BLOCK] = d @ p["c"].T
         ends = np.searchsorted(cls, np.arange(self.n_classes + 1)).tolist()
         for a, b, i, j in zip(self.cuts[:-1], self.cuts[1:], ends[:-1], ends[1:]):
             if b - a < 2 or i == j:
@@ -358,7 +363,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, fold: int = 2) -> DataFra
         texts, moments = [own[a:b].astype(np.int32) for a, b in zip(bounds[:-1], bounds[1:])], {}
         for _ in range(EPOCHS):
             model.train_packed(texts, moments)
-        _learn_from_all(model, train, words, rank, ROUNDS)
+        _learn_from_all(model, train, words[rank < vocab], rank[rank < vocab], ROUNDS)
     shared = spark.sparkContext.broadcast((model, words, n, rank))
     names = ["at", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "word"]
 

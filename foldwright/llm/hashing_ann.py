@@ -16,7 +16,8 @@ there are so many rows.
 
 Mean, rotations and radius are fitted on a sample of ``SAMPLE`` rows (hash order of the
 id), whatever the input.  Null and zero vectors and those with null or non-finite
-components take no part; shorter vectors are filled with zeros.
+components take no part, nor do rows without an id; shorter vectors are filled with zeros.
+Repeated rows and ids are rows of their own: each query row gets a list, in which all other rows take part.
 """
 
 from __future__ import annotations
@@ -81,8 +82,8 @@ def learn(sample: np.ndarray, k: int) -> tuple[Codes, int]:
 class Block:
     """The substring indexes of some rows."""
 
-    def __init__(self, ids: np.ndarray, rows: np.ndarray, codes: np.ndarray):
-        self.ids, self.rows, self.codes = ids, rows, codes
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, at: np.ndarray | None = None):
+        self.ids, self.rows, self.codes, self.at = ids, rows, codes, ids if at is None else at
         self.order = np.argsort(codes, 0, kind="stable").T.copy()
         self.start = np.stack([np.searchsorted(codes[o, j], np.arange(257)) for j, o in enumerate(self.order)])
 
@@ -106,11 +107,11 @@ class Block:
         found = np.flatnonzero(seen)
         return found[hamming(self.codes[found], code) <= radius]
 
-    def nearest(self, query_id: int, query: np.ndarray, code: np.ndarray, radius: int, k: int):
-        bits, wanted = 8 * len(self.order), min(k, int((self.ids != query_id).sum()))
+    def nearest(self, own: int, query: np.ndarray, code: np.ndarray, radius: int, k: int):
+        bits, wanted = 8 * len(self.order), min(k, int((self.at != own).sum()))
         while True:
             found = self.within(code, radius)
-            found = found[self.ids[found] != query_id]
+            found = found[self.at[found] != own]
             if len(found) >= wanted or radius >= bits:
                 break
             radius = min(bits, radius + max(2, bits // 32))
@@ -137,22 +138,23 @@ def nearest_neighbours(table: DataFrame, k: int = 10) -> DataFrame:
     dealt = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(n_blocks))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
     # queries meet every block; a block meets every slice of the queries
-    as_data = rows.select("vec_id", "v", dealt.alias("block"), F.explode(upto(n_bundles)).alias("bundle"), F.lit(False).alias("query"))
-    as_query = rows.where(query).select("vec_id", "v", F.explode(upto(n_blocks)).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(n_bundles)).alias("bundle"), F.lit(True).alias("query"))
+    as_data = rows.select("at", "vec_id", "v", dealt.alias("block"), F.explode(upto(n_bundles)).alias("bundle"), F.lit(False).alias("query"))
+    as_query = rows.where(query).select("at", "vec_id", "v", F.explode(upto(n_blocks)).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(9)), F.lit(n_bundles)).alias("bundle"), F.lit(True).alias("query"))
 
     def searched(t: pa.Table) -> pa.Table:
         codes, radius = shared.value
         is_q = t.column("query").to_numpy(zero_copy_only=False)
-        ids, x = t.column("vec_id").to_numpy(), matrix(t.column("v"), width)
-        out = [[], [], []]
+        at, ids, x = t.column("at").to_numpy(), t.column("vec_id").to_numpy(), matrix(t.column("v"), width)
+        out = [[], [], [], []]
         if is_q.any() and not is_q.all():
             packed = codes.of(x)
-            block = Block(ids[~is_q], x[~is_q], packed[~is_q])
+            block = Block(ids[~is_q], x[~is_q], packed[~is_q], at[~is_q])
             for i in np.flatnonzero(is_q):
-                found, gap = block.nearest(ids[i], x[i], packed[i], radius, k)
-                out[0].append(np.full(len(found), ids[i])), out[1].append(found), out[2].append(gap)
+                found, gap = block.nearest(at[i], x[i], packed[i], radius, k)
+                for o, y in zip(out, (np.full(len(found), at[i]), np.full(len(found), ids[i]), found, gap)):
+                    o.append(y)
         flat = [np.concatenate(o) if o else np.zeros(0) for o in out]
-        return pa.table([pa.array(flat[0].astype(np.int64)), pa.array(flat[1].astype(np.int64)), pa.array(flat[2].astype(np.float64))], names=["query_id", "vec_id", "score"])
+        return pa.table([pa.array(f.astype(np.int64)) for f in flat[:3]] + [pa.array(flat[3].astype(np.float64))], names=["at", "query_id", "vec_id", "score"])
 
-    found = as_data.unionAll(as_query).groupBy("bundle", "block").applyInArrow(searched, "query_id long, vec_id long, score double")
+    found = as_data.unionAll(as_query).groupBy("bundle", "block").applyInArrow(searched, "at long, query_id long, vec_id long, score double")
     return best(found, k, descending=False)

@@ -11,10 +11,10 @@ DATA_BLOCK, QUERY_BLOCK = 8192, 1024
 
 
 def usable(table: DataFrame) -> DataFrame:
-    """vec_id and v (array<double>) of the rows without null or non-finite components; repeated rows count once."""
+    """vec_id, v (array<double>) and at, the number of a row, of those without null or non-finite components; to be written before it is used."""
     v = F.col("embedding").cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad).dropDuplicates(["vec_id", "v"])
+    return table.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~bad).withColumn("at", F.monotonically_increasing_id())
 
 
 def is_query(vec_id: Column) -> Column:
@@ -39,9 +39,9 @@ def matrix(column, width: int) -> np.ndarray:
 
 
 def best(found: DataFrame, k: int, descending: bool) -> DataFrame:
-    """The k best of each query over all blocks, ranked from 1, ties to the smaller vec_id."""
+    """The k best of each query row (at) over all blocks, ranked from 1, ties to the smaller vec_id."""
     order = F.desc("score") if descending else F.asc("score")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(order, "vec_id"))
+    rank = F.row_number().over(Window.partitionBy("at").orderBy(order, "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -16,12 +16,15 @@ without structure in many dimensions, every query block meets every data block o
 
 Components are floor(scale * x); scores are exact (integer arithmetic wherever
 doubles would not be).  Vectors that are null or hold null or non-finite components take
-no part; shorter vectors are filled with zeros; a repeated id is a row like any other.
+no part, nor do rows without an id; shorter vectors are filled with zeros.  Repeated rows and ids are rows of their own:
+each query row gets a list, in which all other rows take part.  Scores beyond the range of a long are its
+ends, and tie.
 """
 
 from __future__ import annotations
 
 from itertools import accumulate
+from math import isqrt
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .vectors import DATA_BLOCK, QUERY_BLOCK, best, is_query, matrix, top_rows, usable
 
-#: Pivots: a sample of this many rows at most, whatever the input.
-N_PIVOTS = 64
+#: Pivots are as many rows as the root of their number, between these bounds; so their table has under 10 million numbers.
+N_PIVOTS, MOST_PIVOTS = 64, 4096
 #: Room for rounding in the bounds; sizes and distances are summed in double precision.
 SLACK = 1e-9
 
@@ -68,14 +71,15 @@ def multiply(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def top_inner_products(table: DataFrame, k: int = 10, scale: int = 1024, n_pivots: int = N_PIVOTS) -> DataFrame:
+def top_inner_products(table: DataFrame, k: int = 10, scale: int = 1024, n_pivots: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query row."""
     import pyarrow as pa
 
     spark = table.sparkSession
-    rows = usable(table).select("vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("v"))
+    rows = usable(table).select("at", "vec_id", F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double")).alias("v"))
     rows = materialize(rows, "voronoi-rows")
-    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    width, n_rows = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)), F.count("*")).first()
+    n_pivots = n_pivots or min(MOST_PIVOTS, max(N_PIVOTS, isqrt(n_rows)))
     empty = "query_id long, rank int, vec_id long, score long"
     if not width:
         return spark.createDataFrame([], empty)
@@ -90,9 +94,9 @@ def top_inner_products(table: DataFrame, k: int = 10, scale: int = 1024, n_pivot
             x = matrix(batch.column("v"), width)
             near = np.argmin(lengths - 2 * (x @ pivots.T), 1)
             far = np.sqrt(((x - pivots[near]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(near.astype(np.int32)), pa.array(far)], names=["vec_id", "v", "cell", "far"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(far)], names=["at", "vec_id", "v", "cell", "far"])
 
-    rows = materialize(rows.mapInArrow(assigned, "vec_id long, v array<double>, cell int, far double"), "voronoi-cells")
+    rows = materialize(rows.mapInArrow(assigned, "at long, vec_id long, v array<double>, cell int, far double"), "voronoi-cells")
     cells = rows.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r"), F.count_if(is_query(F.col("vec_id"))).alias("nq"), F.max(F.when(is_query(F.col("vec_id")), F.col("far"))).alias("rq")).collect()
     data = {c["cell"]: (c["n"], c["r"]) for c in cells}
     queries = {c["cell"]: (c["nq"], c["rq"]) for c in cells if c["nq"]}
@@ -117,41 +121,37 @@ def top_inner_products(table: DataFrame, k: int = 10, scale: int = 1024, n_pivot
     def dealt(batches):
         first, split, wanted, size, meets = plan.value
         for batch in batches:
-            ids, cell = batch.column("vec_id").to_numpy(), batch.column("cell").to_numpy()
-            at, to, block, query = [], [], [], []
-            for i, (v, c) in enumerate(zip(ids.tolist(), cell.tolist())):
-                h = (v * 0x9E3779B97F4A7C15 >> 20) & 0xFFFFFFFF
-                for b in meets.get(c, ()):
-                    at.append(i), to.append(b), block.append((c << 32) + h % size[c]), query.append(False)
-                if v % 100 == 0:
-                    b = first[c] + h % split[c]
+            ids, cell, rows = (batch.column(c).to_numpy() for c in ("vec_id", "cell", "at"))
+            h = ((rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64)
+            for c in np.unique(cell).tolist():
+                own = np.flatnonzero(cell == c)
+                for b in meets.get(c, ()):  # the cell's rows, once for each bundle of queries that needs it
+                    yield emit(batch, own, np.full(len(own), b), (c << 32) + h[own] % size[c], False)
+                asked = own[ids[own] % 100 == 0]
+                if len(asked):
+                    to = first[c] + h[asked] % split[c]
                     for d in wanted[c]:
                         for j in range(size[d]):
-                            at.append(i), to.append(b), block.append((d << 32) + j), query.append(True)
-                if len(at) >= 20_000:
-                    yield emit(batch, at, to, block, query)
-                    at, to, block, query = [], [], [], []
-            if at:
-                yield emit(batch, at, to, block, query)
+                            yield emit(batch, asked, to, np.full(len(asked), (d << 32) + j), True)
 
     def emit(batch, at, to, block, query):
-        take = pa.array(at, pa.int64())
-        x = pa.array(list(matrix(batch.column("v").take(take), width)), pa.list_(pa.float64()))
-        return pa.RecordBatch.from_arrays([batch.column("vec_id").take(take), x, pa.array(to, pa.int64()), pa.array(block, pa.int64()), pa.array(query, pa.bool_())], names=["vec_id", "v", "bundle", "block", "query"])
+        take = pa.array(at)
+        return pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in ("at", "vec_id", "v")], pa.array(to, pa.int64()), pa.array(block, pa.int64()), pa.array(np.full(len(at), query))], names=["at", "vec_id", "v", "bundle", "block", "query"])
 
     def solved(t: pa.Table) -> pa.Table:
         is_q = t.column("query").to_numpy(zero_copy_only=False)
-        ids, x = t.column("vec_id").to_numpy(), matrix(t.column("v"), width)
-        q_ids, q, d_ids, d = ids[is_q], x[is_q], ids[~is_q], x[~is_q]
-        out = [[], [], []]
+        rows, ids, x = t.column("at").to_numpy(), t.column("vec_id").to_numpy(), matrix(t.column("v"), width)
+        q_rows, q_ids, q, d_rows, d_ids, d = rows[is_q], ids[is_q], x[is_q], rows[~is_q], ids[~is_q], x[~is_q]
+        out = [[], [], [], []]
         for i in range(0, len(q) if len(d) else 0, 256):
-            for q_id, row in zip(q_ids[i : i + 256], multiply(q[i : i + 256], d)):
-                other = np.flatnonzero(d_ids != q_id)
+            for q_row, q_id, row in zip(q_rows[i : i + 256], q_ids[i : i + 256], multiply(q[i : i + 256], d)):
+                other = np.flatnonzero(d_rows != q_row)
                 top = other[top_rows(row[other], d_ids[other], k)]
-                out[0].append(np.full(len(top), q_id)), out[1].append(d_ids[top]), out[2].append(row[top])
+                for o, x in zip(out, (np.full(len(top), q_row), np.full(len(top), q_id), d_ids[top], row[top])):
+                    o.append(x)
         flat = [np.concatenate(o).astype(np.int64) if o else np.zeros(0, np.int64) for o in out]
-        return pa.table(flat, names=["query_id", "vec_id", "score"])
+        return pa.table(flat, names=["at", "query_id", "vec_id", "score"])
 
-    dealt_rows = rows.select("vec_id", "v", "cell").mapInArrow(dealt, "vec_id long, v array<double>, bundle long, block long, query boolean")
-    found = dealt_rows.groupBy("bundle", "block").applyInArrow(solved, "query_id long, vec_id long, score long")
+    dealt_rows = rows.select("at", "vec_id", "v", "cell").mapInArrow(dealt, "at long, vec_id long, v array<double>, bundle long, block long, query boolean")
+    found = dealt_rows.groupBy("bundle", "block").applyInArrow(solved, "at long, query_id long, vec_id long, score long")
     return best(found, k, descending=True)
