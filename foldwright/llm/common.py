@@ -69,7 +69,7 @@ def salted_join(many: DataFrame, few: DataFrame, on: str, by: str, how: str = "i
     return spread.join(copies, [on, "__salt"], how).drop("__salt")
 
 
-def join_by_share(many: DataFrame, few: DataFrame, on: str, rows: str, share: int = 1000) -> DataFrame:
+def join_by_share(many: DataFrame, few: DataFrame, on, rows: str, share: int = 1000) -> DataFrame:
     """``many`` left-joined to ``few``, which has a row a key with the number ``rows`` of its rows in ``many``.
 
     Keys that hold more than a ``share``-th of all rows, of which there are fewer than ``share``,

@@ -10,7 +10,8 @@ the pattern, and the remainder as a prefix of a seeded order.
 
 Null texts have no words and are never taken; a null source is a source of its
 own, last in order; repeated rows are documents of their own with equal seeds, told
-apart by their place in the input.  An empty table gives an empty mix.
+apart by their place in the input.  Very long texts count whole, and the mix is off a
+target by one document at most.  An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import join_by_share, materialize, word_count
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -122,7 +123,7 @@ def mix(docs: DataFrame, memberships=None, weights=WEIGHTS, budget: float = BUDG
     )
     base = materialize(base.withColumn("bucket", F.pmod(F.col("seeded"), F.lit(SEED_BUCKETS)).cast("int")), "mix-sizes")
     by_bucket = materialize(base.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "mix-buckets")
-    found = by_bucket.groupBy("pattern").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
+    found = by_bucket.groupBy("pattern").agg(F.sum("words").alias("words"), F.sum("n").alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns; coarsen the sources")
     found.sort(key=lambda r: [(s is None, s or "") for s in r["pattern"]])
@@ -149,12 +150,12 @@ def mix(docs: DataFrame, memberships=None, weights=WEIGHTS, budget: float = BUDG
         .groupBy("pattern").agg(F.min("bucket").alias("cut"), F.min("before").alias("before_cut"))
     )
     cut = {tuple(r["pattern"]): (r["cut"], r["before_cut"]) for r in cuts.collect()}
-    # a row per pattern; no hint: the planner broadcasts it only while it is small
+    # a row per pattern
     plans = spark.createDataFrame(
-        [(*p, *cut.get(tuple(p[0]), (None, None))) for p in plan],
-        "pattern array<string>, whole long, part long, source_size long, target double, cut int, before_cut long",
+        [(*p, *cut.get(tuple(p[0]), (None, None)), r["n"]) for p, r in zip(plan, found)],
+        "pattern array<string>, whole long, part long, source_size long, target double, cut int, before_cut long, n long",
     )
-    joined = base.join(plans, "pattern")
+    joined = join_by_share(base, plans, "pattern", "n")
     # only the rows of each pattern's cut bucket are put in order
     border = joined.where(F.col("bucket") == F.col("cut"))
     run = Window.partitionBy("pattern").orderBy("seeded", "doc_id", "at")

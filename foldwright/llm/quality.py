@@ -11,8 +11,9 @@ path's posterior odds, without the document's own share, times the document's
 likelihood ratio are its odds of being good.
 
 The model is fitted on at most ``SAMPLE`` labelled rows (hash order of their ids);
-everything else covers all rows.  Sums by site are plain aggregates that combine
-before the shuffle, so a hot host is no matter.  Null texts have no evidence, null
+everything else covers all rows and whole texts.  Sums by site are plain aggregates that
+combine before the shuffle, and sites with more than a thousandth of all rows are
+broadcast to them, so a hot host is no matter.  Null texts have no evidence, null
 hosts and paths are a site of their own, rows are scored one by one, and without
 labels of both kinds every document keeps the prior of one half.
 """
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, word_count
+from .common import join_by_share, materialize, word_count
 
 #: Labelled rows that the document model is fitted on.
 SAMPLE = 20_000
@@ -111,7 +112,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column) ->
     hosts = hosts.withColumn("host_rate", (F.col("s") + k_host * F.col("global")) / (F.col("n") + k_host)).select("host", "host_rate")
     paths = materialize(paths.join(hosts, "host"), "quality-hosts")
     k_path = _strength(paths, "host_rate")
-    joined = base.join(paths, ["host", "path"])
+    joined = join_by_share(base, paths, ["host", "path"], "n")
     # a document doesn't vote on itself
     path_rate = (F.col("s") - F.col("own") + k_path * F.col("host_rate")) / (F.col("n") - 1 + k_path)
     path_rate = F.least(F.greatest(path_rate, F.lit(1e-6)), F.lit(1 - 1e-6))

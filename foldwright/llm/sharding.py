@@ -8,7 +8,8 @@ equal targets gives contiguous shards.  Only one row of totals per partition and
 one per shard reach the driver.
 
 Null texts have size 1, null ids come first, repeated rows lie next to each other
-and may fall on either side of a cut.  No rows give no shards.
+and may fall on either side of a cut.  A very long text is one row, so a shard may be off
+its target by it.  No rows give no shards.
 """
 
 from __future__ import annotations
@@ -77,11 +78,19 @@ def _shaped(df: DataFrame, shard, slot) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8) -> DataFrame:
-    """Write the documents as ``path/shard=k/`` folders, contiguous in id order; returns the placement."""
-    placed = shard_by_bytes(docs, n_shards)
-    keyed = docs.withColumn("__crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    # equal rows at a cut go to the earlier shard here
-    where = placed.groupBy("doc_id", "text_crc32").agg(F.min("shard").alias("shard"))
-    out = keyed.join(where, keyed["doc_id"].eqNullSafe(where["doc_id"]) & (keyed["__crc"] == where["text_crc32"])).select(*[keyed[c] for c in docs.columns], where["shard"])
-    out.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(64))).write.mode("overwrite").partitionBy("shard").parquet(path)
+    """Write the documents as ``path/shard=k/`` folders, each in the order of its slots; returns the placement.
+
+    Equal rows, of which some may lie before a cut and some behind it, are numbered on both sides and matched
+    by number, so the files hold what the placement says.
+    """
+    placed = materialize(shard_by_bytes(docs, n_shards), "shard-written")
+    equal = ["doc_id", "size", "text_crc32"]
+    numbered = lambda df, *order: df.withColumn("copy", F.row_number().over(Window.partitionBy(*equal).orderBy(*order)))
+    sizes = [F.col("doc_id").cast("long"), (F.octet_length(F.coalesce(F.col("text"), F.lit("")).cast("binary")) + 1).cast("long"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), *[c.alias(n) for n, c in zip(equal, sizes)], F.col("text").alias("own"))
+    a, b = numbered(rows, "own"), numbered(placed, "shard", "slot").select(*[F.col(c).alias("p_" + c) for c in (*equal, "copy")], "shard", "slot")
+    same = (a["copy"] == b["p_copy"]) & a["size"].eqNullSafe(b["p_size"]) & a["doc_id"].eqNullSafe(b["p_doc_id"]) & (a["text_crc32"] == b["p_text_crc32"])
+    out = a.join(b, same).select("row.*", "shard", "slot")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out.repartitionByRange(max(n_shards, parts), "shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.mode("overwrite").partitionBy("shard").parquet(path)
     return placed

@@ -92,3 +92,28 @@ def test_written_shards(spark, tmp_path):
     _, docs = docs_of(spark, 60)
     sharding.write_shards(docs.drop("shard"), str(tmp_path / "out"), 4)
     assert spark.read.parquet(str(tmp_path / "out")).count() == docs.count()
+
+
+def test_files_are_the_placement(spark, tmp_path):
+    """Each shard's file rows, in order, are those of its slots; equal rows at a cut go where the placement says."""
+    rows = [(i // 3, "word " * (i % 7)) for i in range(60)] + [(5, "same text")] * 40 + [(None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    placed = sharding.write_shards(docs, str(tmp_path / "out"), 5).collect()
+    for shard in range(5):
+        want = [(r["doc_id"], r["size"]) for r in sorted((r for r in placed if r["shard"] == shard), key=lambda r: r["slot"])]
+        files = sorted((tmp_path / "out" / f"shard={shard}").glob("*.parquet"))
+        got = [(r["doc_id"], len((r["text"] or "").encode()) + 1) for f in files for r in spark.read.parquet(str(f)).collect()]
+        assert got == want
+    read = spark.read.parquet(str(tmp_path / "out")).drop("shard").collect()
+    assert sorted(map(str, map(tuple, read))) == sorted(map(str, rows))
+
+
+def test_very_long_texts_count_whole(spark):
+    """One text holds most of the words and bytes."""
+    long = "wörd " * 400_000
+    docs = spark.createDataFrame([(0, long, "a")] + [(i, "x y z", "b") for i in range(1, 300)], "doc_id bigint, text string, source string")
+    sizes = {r["doc_id"]: r["size"] for r in mixing.mix(docs).collect()}
+    assert sizes[0] == 400_000 and sizes[1] == 3
+    placed = {r["doc_id"]: r for r in sharding.shard_by_bytes(docs).collect()}
+    assert placed[0]["size"] == len(long.encode()) + 1 and len({r["shard"] for r in placed.values()}) >= 2
+    assert sorted(r["slot"] for r in placed.values() if r["shard"] == placed[299]["shard"]) == list(range(sum(r["shard"] == placed[299]["shard"] for r in placed.values())))

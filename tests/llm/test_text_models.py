@@ -376,3 +376,65 @@ def test_quality(spark):
     plain = quality.classify(docs, made.limit(0), F.col("source"), F.col("path")).collect()
     assert {round(r["score"], 6) for r in plain} == {0.5}
     assert quality.classify(docs.limit(0), made, F.col("source"), F.col("path")).count() == 0
+
+
+def test_quality_against_brute_force(spark):
+    """Evidence of the fitted model and both levels of posteriors, computed plainly; a hot host among them."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(21)
+    rows = []
+    for i in range(400):
+        host = rng.choice(["hot", "hot", "hot", "a", "b", None])
+        good = rng.random() < (0.8 if host == "hot" else 0.3)
+        text = " ".join(rng.choice(["kala", "mana", "Taka", "x1"] if good else ["###", "Kala", "| |", "77", "kala kala"]) for _ in range(rng.randrange(1, 30)))
+        rows.append((i, text if i % 50 else None, host, rng.choice(["en", "fr"]), int(good) if i % 3 else None))
+    rows += rows[:7]
+    docs = spark.createDataFrame([r[:4] for r in rows], "doc_id bigint, text string, source string, lang string").repartition(3)
+    labels = spark.createDataFrame([(r[0], r[4]) for r in rows[:400] if r[4] is not None], "doc_id bigint, quality int")
+    path = F.concat_ws("/", "source", "lang")
+    got = sorted(((r["doc_id"], round(r["evidence"], 6), round(r["score"], 6)) for r in quality.classify(docs, labels, F.col("source"), path).collect()))
+
+    def features(t):
+        n, w = max(1, len(t)), len(re.findall(r"[^\x20\x09-\x0D]+", t)) or 1
+        count = lambda p: len(re.findall(p, t))
+        low, lines = re.split(r"\s+", t.lower()), t.split("\n")
+        return [count(r"[#$%&*|!<>{}\[\]^~\\]") / n, count("[0-9]") / n, count("[A-Z]") / n, min(1, count(r"\s\|\s|[#$%&*!]{2,}") / w), min(1, n / w / 20), min(1, math.log1p(w) / 12), len(set(low)) / w, len(set(lines)) / len(lines)]
+
+    label = {r[0]: r[4] for r in rows}
+    seen = [(features(t), label[i]) for i, t, *_ in rows if t is not None and label[i] is not None]
+    mean, spread, w, bias = quality._fit(np.array([f for f, _ in seen]), np.array([y for _, y in seen], float))
+    own = np.mean([y for _, y in seen])
+    every = [label[i] for i, *_ in rows if label[i] is not None]
+    rate = sum(every) / len(every)
+    logit = lambda p: math.log(p / (1 - p))
+    evidence = [0.0 if t is None else max(-8, min(8, bias + float(((np.array(features(t)) - mean) / spread) @ w) - logit(own))) for _, t, *_ in rows]
+    votes = [label[r[0]] if label[r[0]] is not None else 1 / (1 + math.exp(-e - logit(rate))) for r, e in zip(rows, evidence)]
+
+    def strength(groups, parent):
+        q = sum((s - n * parent(g)) ** 2 / n for g, (n, s) in groups.items())
+        noise = sum(parent(g) * (1 - parent(g)) for g in groups)
+        whole = sum(n * parent(g) * (1 - parent(g)) for g, (n, _) in groups.items())
+        rho = min(0.99, max(1e-6, (q - noise) / max(1e-9, whole - noise)))
+        return (1 - rho) / rho
+
+    def gathered(key):
+        out = {}
+        for r, v in zip(rows, votes):
+            n, s = out.get(key(r), (0, 0.0))
+            out[key(r)] = n + 1, s + v
+        return out
+
+    path_of = lambda r: (r[2], "/".join(x for x in r[2:4] if x is not None))
+    hosts, paths = gathered(lambda r: r[2]), gathered(path_of)
+    k = strength(hosts, lambda g: rate)
+    host_rate = {g: (s + k * rate) / (n + k) for g, (n, s) in hosts.items()}
+    k = strength(paths, lambda g: host_rate[g[0]])
+    want = []
+    for r, e, v in zip(rows, evidence, votes):
+        n, s = paths[path_of(r)]
+        p = min(1 - 1e-6, max(1e-6, (s - v + k * host_rate[r[2]]) / (n - 1 + k)))
+        want.append((r[0], round(e, 6), round(1 / (1 + math.exp(-e - logit(p))), 6)))
+    for g, x in zip(got, sorted(want)):
+        assert g == pytest.approx(x, abs=3e-6)
+    assert len(got) == len(want)
