@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -44,12 +45,15 @@ def register(name: str, oracle: str | None = None):
 def grouped(name: str, fold: str, source: str, keys: Callable, row: Callable, order: Callable, out: dict[str, str], oracle: str, number: str = "bigint") -> None:
     """A query whose state is all columns: keys, and ``out`` as expressions over the state.
 
-    Columns are made when the query runs, as they need a session.
+    Columns are made when the query runs, as they need a session.  A set of which only the size is asked is counted.
     """
+    sizes = {n: m[1] for n, e in out.items() if (m := re.fullmatch(r"cast\(size\((s[_0-9]*)\) as bigint\)", e))}
+    rest = " ".join(e for n, e in out.items() if n not in sizes)
+    sizes = {n: s for n, s in sizes.items() if not re.search(rf"\b{s}\b", rest)}
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        states = Aggregate(CATALOG[fold], by := keys(), row(), order(), number).scalars(table(spark, sf_dir, source))
-        return states.select(*by, *[F.expr(e).alias(n) for n, e in out.items()])
+        states = Aggregate(CATALOG[fold], by := keys(), row(), order(), number).scalars(table(spark, sf_dir, source), frozenset(sizes.values()))
+        return states.select(*by, *[C(sizes[n]).alias(n) if n in sizes else F.expr(e).alias(n) for n, e in out.items()])
 
     run.__doc__ = f"{fold} over {source}"
     register(name, oracle)(run)

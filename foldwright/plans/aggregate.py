@@ -136,12 +136,24 @@ class Aggregate:
 
     # ------------------------------------------------------------ plans
 
-    def scalars(self, df: DataFrame) -> DataFrame:
-        """keys and one column for every leaf that isn't a map or vector."""
+    def scalars(self, df: DataFrame, counted: frozenset[str] = frozenset()) -> DataFrame:
+        """keys and one column for every leaf that isn't a map or vector.
+
+        Of the sets named in ``counted`` only the number of members comes, by a distinct count over
+        (keys, member), so that no task holds a whole set.
+        """
         shapes = [s for s in self.derivation.shapes if not self.is_rows(s)]
         if any(s.kind in ("unknown", "enumerated") for s in shapes):
             return self.ordered(df)
-        aggs = [self.native(s).alias(self.column_name(s)) for s in shapes]
+        def column(s: Shape) -> Column:
+            if self.column_name(s) not in counted:
+                return self.native(s)
+            if s.kind != "set_add" or s.leaf.init:
+                raise ValueError(f"{self.column_name(s)} is no set that rows are added to")
+            member = self._col(s.e)
+            return F.count_distinct(F.when(self._col(s.cond), member) if s.cond is not None else member)
+
+        aggs = [column(s).alias(self.column_name(s)) for s in shapes]
         return self.prepared(df).groupBy(*[c.alias(k) for k, c in self.keys.items()]).agg(*aggs)
 
     def over(self, window) -> dict[str, Column]:

@@ -85,3 +85,35 @@ def test_command_line(tmp_path, capsys):
     assert main(["--json", str(program), "--mode", "no-lift"]) == 0
     assert json.loads(capsys.readouterr().out)["status"] in ("Refuted", "Ordered")
     assert main(["--json", str(tmp_path / "none")]) == 1
+
+
+def test_bounds_of_boxed_integers():
+    from foldwright.lang.ast import show
+    from foldwright.sources.scala import read_scala
+
+    f = read_scala("""case class In(v: Integer)
+case class Buf(lo: Long, hi: Long)
+class Bounds extends Aggregator[In, Buf, Long] {
+  def zero: Buf = Buf(Integer.MAX_VALUE.toLong, Integer.MIN_VALUE.toLong)
+  def reduce(b: Buf, a: In): Buf = Buf(if (a.v < b.lo) a.v else b.lo, if (a.v > b.hi) a.v else b.hi)
+}""")
+    assert show(f.init) == "(_mx, _mn)"
+
+
+def test_batch_and_comparison(tmp_path):
+    import json
+
+    from foldwright.cli import batch, compare
+    from foldwright.operators.catalog import CATALOG
+    from foldwright.sources.programs import write_program
+
+    (tmp_path / "in").mkdir()
+    for name in ("average", "clickstream", "bid_stats"):
+        (tmp_path / "in" / f"{name}.json").write_text(write_program(CATALOG[name]))
+    (tmp_path / "in" / "broken.scala").write_text("class X")
+    assert batch(str(tmp_path / "in"), str(tmp_path / "full"), jobs=2) == {"Success": 2, "Lifted": 1, "Error": 1}
+    batch(str(tmp_path / "in"), str(tmp_path / "less"), "no-lift")
+    found = compare([str(tmp_path / "full"), str(tmp_path / "less")])
+    assert found[str(tmp_path / "less")]["solved_less"] == ["clickstream"]
+    assert found[str(tmp_path / "full")]["quantiles"]["input_ast_size"]["1.0"] >= 1
+    assert json.loads((tmp_path / "less" / "clickstream.json").read_text())["status"] in ("Refuted", "Ordered")

@@ -153,3 +153,10 @@ def test_stops_without_keys(spark):
     agg = Aggregate(CATALOG["harmonic_mean"], {}, F.col("v"), F.col("o"))
     assert list(agg.scalars(df).select("s_0", "s_2").first()) == [10, True]
     assert "SinglePartition" in agg.scalars(df)._jdf.queryExecution().executedPlan().toString() and "Window" not in agg.scalars(df)._jdf.queryExecution().executedPlan().toString()
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["u05_bloomfilter", "u24_hyperloglogaggregationfunction", "u38_statsaggregatefunction"])
+def test_sizes_are_counted_without_sets(spark, name):
+    plan = next(QUERIES[n] for n in QUERIES if n.startswith(name[:6]) and not n[3:4].isalpha())(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan
