@@ -105,12 +105,13 @@ def route(patterns: list[tuple[tuple, int]], quotas: dict, passes: int = MAX_PAS
     return [{s: room[e ^ 1] for s, e in found.items()} for found in links]
 
 
-def mix(docs: DataFrame, memberships=None, weights=WEIGHTS, budget: float = BUDGET, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, memberships=None, weights=WEIGHTS, budget: float = BUDGET, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, pattern, size, source_size, target, passes, taken for every document.
 
     ``memberships`` is a column with the array of sources of a document; the
     default is its one ``source``.  ``source_size`` and ``target`` are those of its
-    first source.  ``taken`` is ``passes * size`` and never above ``2 * size``.
+    first source.  ``taken`` is ``passes * size`` and never above ``2 * size``.  The ``keep``
+    columns of ``docs`` follow.
     """
     spark = docs.sparkSession
     member = memberships if memberships is not None else F.array(F.col("source").cast("string"))
@@ -120,6 +121,7 @@ def mix(docs: DataFrame, memberships=None, weights=WEIGHTS, budget: float = BUDG
         word_count(F.col("text")).alias("size"),
         F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("text")).alias("seeded"),
         F.monotonically_increasing_id().alias("at"),
+        *keep,
     )
     base = materialize(base.withColumn("bucket", F.pmod(F.col("seeded"), F.lit(SEED_BUCKETS)).cast("int")), "mix-sizes")
     by_bucket = materialize(base.groupBy("pattern", "bucket").agg(F.sum("size").alias("words"), F.count("*").alias("n")), "mix-buckets")
@@ -164,6 +166,6 @@ def mix(docs: DataFrame, memberships=None, weights=WEIGHTS, budget: float = BUDG
     extra_border = (F.col("upto") * 2 - F.col("size") <= F.col("part") * 2).cast("long")
     rest = joined.where(F.col("cut").isNull() | (F.col("bucket") != F.col("cut")))
     extra_rest = F.when(F.col("bucket") < F.col("cut"), 1).otherwise(0).cast("long")
-    cols = ["doc_id", "pattern", "size", "source_size", "target"]
+    cols = ["doc_id", "pattern", "size", "source_size", "target", *keep]
     both = border.select(*cols, (F.col("whole") + extra_border).alias("passes")).unionAll(rest.select(*cols, (F.col("whole") + extra_rest).alias("passes")))
     return both.withColumn("taken", F.col("passes") * F.col("size"))

@@ -65,3 +65,32 @@ def test_whole_pipeline(spark, tmp_path):
     for r in seen["byte-level BPE"]:
         assert list(r["ids"]) == encoding.encode_ordinary(final[r["doc_id"]]) and r["n_tokens"] == len(r["ids"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["byte-level BPE"])
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Repeated rows, null ids, ids shared by two texts, further columns, no rows."""
+    text = lambda i: " ".join(f"w{(i * 7 + j * j) % 97}x{j}" for j in range(30))
+    rows = [(i // 2, text(i), "en", f"s{i % 3}", 9, "size", i, "node") for i in range(60)]
+    rows += [rows[3]] * 3 + [(None, text(100), None, None, None, None, None, None), (None, text(101), "fr", "s1", 1, "", 0, "")]
+    columns = "doc_id bigint, text string, lang string, source string, n_chars bigint, size string, passes bigint, node string"
+    docs = spark.createDataFrame(rows, columns).repartition(3)
+    for table in (docs, docs.limit(0)):
+        table.write.mode("overwrite").parquet(str(tmp_path / "odd"))
+        own = spark.read.parquet(str(tmp_path / "odd"))
+        n = own.count()
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            got = stage(spark, own, str(tmp_path))
+            assert got.columns == own.columns, name
+            assert got.count() == n if name != "n-gram Jaccard join" and name != "mixing sources" else True
+        assert corpus_pipeline.tokens(spark, own, str(tmp_path)).count() == n
+    kept = [r["text"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept) == sorted({r[1] for r in rows})
+    mixed = [r["text"] for r in corpus_pipeline.mixture(spark, docs, "").collect()]
+    words = 30 * len(rows)
+    assert abs(30 * len(mixed) - 1.5 * words) <= 30 * 4 and max(map(mixed.count, {r[1] for r in rows[:3]})) <= 2
+
+
+def test_passes_are_each_rows_own(spark):
+    """Rows that share an id and differ in text: the mix isn't overshot."""
+    docs = spark.createDataFrame([(1, f"a b c d {i}", "en", "s", 1) for i in range(200)], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(2)
+    assert abs(corpus_pipeline.mixture(spark, docs, "").count() - 300) <= 1
