@@ -123,20 +123,33 @@ def top_inner_products(table: DataFrame, k: int = 10, scale: int = 1024, n_pivot
         for batch in batches:
             ids, cell, rows = (batch.column(c).to_numpy() for c in ("vec_id", "cell", "at"))
             h = ((rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64)
-            for c in np.unique(cell).tolist():
-                own = np.flatnonzero(cell == c)
-                for b in meets.get(c, ()):  # the cell's rows, once for each bundle of queries that needs it
-                    yield emit(batch, own, np.full(len(own), b), (c << 32) + h[own] % size[c], False)
-                asked = own[ids[own] % 100 == 0]
-                if len(asked):
-                    to = first[c] + h[asked] % split[c]
-                    for d in wanted[c]:
-                        for j in range(size[d]):
-                            yield emit(batch, asked, to, np.full(len(asked), (d << 32) + j), True)
-
-    def emit(batch, at, to, block, query):
+            some, held = [], 0
+            for part in pairs(ids, cell, h, first, split, wanted, size, meets):
+                some.append(part)
+                held += len(part[0])
+                if held >= 20_000:
+                    yield emit(batch, some)
+                    some, held = [], 0
+            if some:
+                yield emit(batch, some)
+
+    def pairs(ids, cell, h, first, split, wanted, size, meets):
+        """Rows with the bundle, block and role that they go to."""
+        for c in np.unique(cell).tolist():
+            own = np.flatnonzero(cell == c)
+            for b in meets.get(c, ()):  # the cell's rows, once for each bundle of queries that needs it
+                yield own, np.full(len(own), b), (c << 32) + h[own] % size[c], np.zeros(len(own), bool)
+            asked = own[ids[own] % 100 == 0]
+            if len(asked):
+                to = first[c] + h[asked] % split[c]
+                for d in wanted[c]:
+                    for j in range(size[d]):
+                        yield asked, to, np.full(len(asked), (d << 32) + j), np.ones(len(asked), bool)
+
+    def emit(batch, some):
+        at, to, block, query = (np.concatenate(x) for x in zip(*some))
         take = pa.array(at)
-        return pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in ("at", "vec_id", "v")], pa.array(to, pa.int64()), pa.array(block, pa.int64()), pa.array(np.full(len(at), query))], names=["at", "vec_id", "v", "bundle", "block", "query"])
+        return pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in ("at", "vec_id", "v")], pa.array(to, pa.int64()), pa.array(block, pa.int64()), pa.array(query)], names=["at", "vec_id", "v", "bundle", "block", "query"])
 
     def solved(t: pa.Table) -> pa.Table:
         is_q = t.column("query").to_numpy(zero_copy_only=False)
