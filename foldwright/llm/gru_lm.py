@@ -5,8 +5,8 @@ most frequent (the end always among them) are the network's words: ``VOCAB`` up
 ``VOCAB_TOKENS`` training tokens, then growing with their square root.  All others
 share one symbol, whose inner distribution is their add-one smoothed share of the tail,
 with room for an unseen word.  The network is a gated recurrent unit with
-class-factored softmax: words are cut into classes of about equal frequency
-(``CLASSES``, or the root of the number of words where that is more), the state predicts the class, then the word inside it.  So probabilities of
+class-factored softmax: words are cut into classes of about equal sums of the roots of their
+frequencies (``CLASSES``, or two fifths of the root of the number of words where that is more), the state predicts the class, then the word inside it.  So probabilities of
 all words and one unseen word sum to 1.
 
 Training is truncated backpropagation through time in numpy with Adam; the state is
@@ -85,21 +85,31 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+    """Uses ``x`` up."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):  # far below zero it is 1 / inf
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class GatedModel:
-    """GRU over word ids 0..size-1 and ``size`` for all other words; id 0 is the end."""
+    """GRU over word ids 0..size-1 and ``size`` for all other words; id 0 is the end.
+
+    The last row of ``c`` and the last column of ``w`` are the biases of classes and words.
+    """
 
     def __init__(self, counts: np.ndarray, tail: int, hidden: int = HIDDEN, classes: int = CLASSES, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.size, h = len(counts), hidden
-        # words in order of frequency, cut where another share of their mass is reached
+        # words in order of frequency, cut where another share of the roots of their counts is
+        # reached: of all cuts into so many classes, the one with the fewest logits a token
         order = np.argsort(-counts, kind="stable")
-        mass = (np.cumsum(counts[order]) - counts[order]) / max(1, counts.sum())
-        cls = np.zeros(self.size, np.int64)
+        root = np.sqrt(counts[order])
+        mass = (np.cumsum(root) - root) / max(1, root.sum())
+        cls = np.zeros(self.size, np.int16)
         cls[order] = np.unique((mass * classes).astype(np.int64), return_inverse=True)[1] if self.size else 0
-        self.cls = np.append(cls, cls.max(initial=-1) + 1)  # the other words are the last class
+        self.cls = np.append(cls, np.int16(cls.max(initial=-1) + 1))  # the other words are the last class
         self.n_classes = int(self.cls[-1]) + 1
         #: Class ``c`` holds the places ``cuts[c]:cuts[c+1]`` of the words in order of frequency.
         self.cuts = np.searchsorted(cls[order], np.arange(self.n_classes)).tolist()
@@ -108,56 +118,72 @@ class GatedModel:
         small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
         counts = counts[order]
         prior = np.array([counts[a:b].sum() for a, b in zip(self.cuts[:-1], self.cuts[1:])] + [max(1, tail)], np.float64)
-        self.p = {"x": small(self.size + 1, 3 * h), "u": small(h, 3 * h), "c": small(h, self.n_classes), "cb": np.log((prior + 1) / (prior.sum() + len(prior))).astype(np.float32), "w": small(self.size, h), "wb": np.log(np.maximum(counts, 1) / max(1, counts.sum())).astype(np.float32)}
+        of_class = np.log((prior + 1) / (prior.sum() + len(prior))).astype(np.float32)
+        of_word = np.log(np.maximum(counts, 1) / max(1, counts.sum())).astype(np.float32)
+        self.p = {"x": small(self.size + 1, 3 * h), "u": small(h, 3 * h), "c": np.vstack([small(h, self.n_classes), of_class]), "w": np.hstack([small(self.size, h), of_word[:, None]])}
 
     def step(self, x: np.ndarray, h: np.ndarray):
         n = h.shape[1]
         u = self.p["u"]
-        g = _sigmoid(x[:, : 2 * n] + h @ u[:, : 2 * n])
+        g = h @ u[:, : 2 * n]
+        g += x[:, : 2 * n]
+        g = _sigmoid(g)
         z, r = g[:, :n], g[:, n:]
-        c = np.tanh(x[:, 2 * n :] + (r * h) @ u[:, 2 * n :])
-        return h + z * (c - h), z, r, c
+        c = (r * h) @ u[:, 2 * n :]
+        c += x[:, 2 * n :]
+        np.tanh(c, out=c)
+        new = c - h
+        new *= z
+        new += h
+        return new, z, r, c
+
+    def _bounded(self) -> bool:
+        """Whether no logit of a state, which is within -1 to 1, is too large for a sum of exponentials."""
+        return all(np.abs(self.p[k]).sum(axis).max(initial=0) < 60 for k, axis in (("c", 0), ("w", 1)))
 
     @staticmethod
-    def _softmax(logits: np.ndarray, pick: np.ndarray, slope: bool):
-        """(log of each row's probability of ``pick``, the loss's slope by the logits or None); uses ``logits`` up."""
+    def _softmax(logits: np.ndarray, pick: np.ndarray, slope: bool, bounded: bool) -> np.ndarray:
+        """Log of each row's probability of ``pick``; ``logits`` become the loss's slope by them, or are used up."""
         rows = np.arange(len(pick))
-        logits -= logits[rows, pick][:, None]
-        np.minimum(logits, 80, out=logits)
+        if not bounded:
+            logits -= logits.max(1, keepdims=True)
+        own = logits[rows, pick]
         np.exp(logits, out=logits)
         total = logits @ np.ones(logits.shape[1], logits.dtype)
         if slope:
-            logits /= total[:, None]
+            logits *= (1 / total)[:, None]
             logits[rows, pick] -= 1
-        return -np.log(total), logits if slope else None
+        return own - np.log(total)
 
     def log_probs(self, h: np.ndarray, to: np.ndarray, grads: dict | None = None, back: np.ndarray | None = None) -> np.ndarray:
         """Natural log of each target's probability in its state; adds gradients of the loss if asked."""
-        p, cls, slope = self.p, self.cls[to], grads is not None
+        p, cls, slope, bounded = self.p, self.cls[to], grads is not None, self._bounded()
         order = np.argsort(cls, kind="stable")  # class by class from here
-        h, cls, place = h[order], cls[order], self.place[to][order]
-        own, up = np.empty(len(to), h.dtype), np.empty_like(h) if slope else None
-        for i in range(0, len(to), BLOCK):  # so many rows of logits stay in a core's own cache
-            some = h[i : i + BLOCK]
-            logits = some @ p["c"]
-            logits += p["cb"]
-            own[i : i + BLOCK], d = self._softmax(logits, cls[i : i + BLOCK], slope)
-            if slope:
-                grads["c"] += some.T @ d
-                grads["cb"] += d.sum(0)
-                up[i : i + BLOCK] = d @ p["c"].T
+        own = np.empty(len(to), h.dtype)
+        n, width = h.shape
+        h, h[:, :width] = np.ones((n, width + 1), h.dtype), h[order]
+        cls, place = cls[order], self.place[to[order]]
+        up = np.empty((n, width), h.dtype) if slope else None
         ends = np.searchsorted(cls, np.arange(self.n_classes + 1)).tolist()
-        for a, b, i, j in zip(self.cuts[:-1], self.cuts[1:], ends[:-1], ends[1:]):
-            if b - a < 2 or i == j:
-                continue
-            logits = h[i:j] @ p["w"][a:b].T
-            logits += p["wb"][a:b]
-            inner, d = self._softmax(logits, place[i:j] - a, slope)
-            own[i:j] += inner
+        inside = [(a, b, i, j) for a, b, i, j in zip(self.cuts[:-1], self.cuts[1:], ends[:-1], ends[1:]) if b - a > 1 and i < j]
+        room = np.empty(max([min(n, BLOCK) * self.n_classes, *[min(j - i, BLOCK) * (b - a) for a, b, i, j in inside]]), h.dtype)
+        back_c = p["c"][:width].T.copy()
+        for i in range(0, n, BLOCK):  # so many rows of logits stay in a core's own cache
+            some = h[i : i + BLOCK]
+            logits = np.matmul(some, p["c"], out=room[: len(some) * self.n_classes].reshape(len(some), -1))
+            own[i : i + BLOCK] = self._softmax(logits, cls[i : i + BLOCK], slope, bounded)
             if slope:
-                grads["w"][a:b] += d.T @ h[i:j]
-                grads["wb"][a:b] += d.sum(0)
-                up[i:j] += d @ p["w"][a:b]
+                grads["c"] += some.T @ logits
+                np.matmul(logits, back_c, out=up[i : i + BLOCK])
+        for a, b, first, j in inside:
+            w = p["w"][a:b]
+            for i in range(first, j, BLOCK):
+                some = h[i : min(i + BLOCK, j)]
+                logits = np.matmul(some, w.T, out=room[: len(some) * (b - a)].reshape(len(some), -1))
+                own[i : i + len(some)] += self._softmax(logits, place[i : i + len(some)] - a, slope, bounded)
+                if slope:
+                    grads["w"][a:b] += logits.T @ some
+                    up[i : i + len(some)] += logits @ w[:, :width]
         out = np.empty_like(own)
         out[order] = own
         if slope:
@@ -201,47 +227,80 @@ class GatedModel:
 
         ``share`` of a full window shortens the step, or the last long text would outweigh all others.
         """
-        grads = {k: np.zeros_like(v) for k, v in self.p.items()}
+        grads = {k: np.zeros_like(v) for k, v in self.p.items() if not (packed and k == "x")}
         states = np.concatenate([s[6] for s in tape])
         back = np.zeros_like(states)
         self.log_probs(states, np.concatenate([s[7] for s in tape]), grads, back)
-        self._through_time(tape, back, grads, packed)
-        seen = np.unique(np.concatenate([s[1] for s in tape])) if packed else None
-        scale = 1 / len(states)
+        if packed:
+            seen, grads["x"] = self._slopes(tape, back, grads, packed)
+        else:
+            self._through_time(tape, back, grads)
         for k, g in grads.items():
-            rows = seen if packed and k == "x" else slice(None)
-            g = np.clip(g[rows] * np.float32(scale), -1, 1)
-            m = mean[k][rows] + 0.1 * (g - mean[k][rows])
-            q = square[k][rows] + 0.001 * (g * g - square[k][rows])
-            mean[k][rows], square[k][rows] = m, q
-            self.p[k][rows] -= share * RATE * (m / (1 - 0.9**turn)) / (np.sqrt(q / (1 - 0.999**turn)) + 1e-8)
+            some = packed and k == "x"
+            m, q = (mean[k][seen], square[k][seen]) if some else (mean[k], square[k])
+            g *= np.float32(1 / len(states))
+            np.clip(g, -1, 1, out=g)
+            m *= 0.9
+            m += 0.1 * g
+            np.square(g, out=g)
+            g *= 0.001
+            q *= 0.999
+            q += g
+            np.multiply(q, 1 / (1 - 0.999**turn), out=g)
+            np.sqrt(g, out=g)
+            g += 1e-8
+            np.divide(m, g, out=g)
+            g *= share * RATE / (1 - 0.9**turn)
+            if some:
+                mean[k][seen], square[k][seen] = m, q
+                self.p[k][seen] -= g
+            else:
+                self.p[k] -= g
 
     def _through_time(self, tape, back, grads, packed: bool = False) -> None:
         """Gradients of one window; they stop at its start and, in packed lanes, at a text's."""
+        words, slopes = self._slopes(tape, back, grads, packed)
+        grads["x"][words] += slopes
+
+    def _slopes(self, tape, back, grads, packed: bool):
+        """(words, the slopes of their rows of ``x``); adds those of ``u``."""
         u, hidden, at = self.p["u"], self.p["u"].shape[0], len(back)
         later = np.zeros((tape[0][0], hidden), np.float32)
         turned, turned_c = u[:, : 2 * hidden].T.copy(), u[:, 2 * hidden :].T.copy()
-        words, slopes, states, reset = [], [], [], []
+        slopes = np.empty((at, 3 * hidden), back.dtype)
+        reset = np.empty((at, hidden), back.dtype)
         for n, ids, before, z, r, c, _new, _to in reversed(tape):
             at -= n
-            dh = later[:n] + back[at : at + n]
-            slope = np.empty((n, 3 * hidden), dh.dtype)
+            dh = back[at : at + n]
+            dh += later[:n]
+            slope = slopes[at : at + n]
             keep = 1 - z
-            slope[:, :hidden] = dh * (c - before) * z * keep
-            slope[:, 2 * hidden :] = dc = dh * z * (1 - c * c)
+            dz, dr, dc = slope[:, :hidden], slope[:, hidden : 2 * hidden], slope[:, 2 * hidden :]
+            np.subtract(c, before, out=dz)
+            dz *= keep
+            scaled = dh * z
+            dz *= scaled
+            np.multiply(c, c, out=dc)
+            np.subtract(1, dc, out=dc)
+            dc *= scaled
             drh = dc @ turned_c
-            slope[:, hidden : 2 * hidden] = drh * before * r * (1 - r)
-            words.append(ids), slopes.append(slope), states.append(before), reset.append(r * before)
-            later[:n] = dh * keep + drh * r + slope[:, : 2 * hidden] @ turned
+            drh *= r
+            held = np.multiply(r, before, out=reset[at : at + n])
+            np.subtract(before, held, out=dr)
+            dr *= drh
+            np.multiply(dh, keep, out=keep)
+            keep += drh
+            keep += slope[:, : 2 * hidden] @ turned
             if packed:
-                later[:n] *= (ids != 0)[:, None]
-        slopes = np.concatenate(slopes)
-        grads["u"][:, : 2 * hidden] += np.concatenate(states).T @ slopes[:, : 2 * hidden]
-        grads["u"][:, 2 * hidden :] += np.concatenate(reset).T @ slopes[:, 2 * hidden :]
-        words = np.concatenate(words)
-        order = np.argsort(words, kind="stable")
+                keep *= (ids != 0)[:, None]
+            later[:n] = keep
+        states = np.concatenate([s[2] for s in tape])
+        grads["u"][:, : 2 * hidden] += states.T @ slopes[:, : 2 * hidden]
+        grads["u"][:, 2 * hidden :] += reset.T @ slopes[:, 2 * hidden :]
+        words = np.concatenate([s[1] for s in tape])
+        order = np.argsort(words.astype(np.uint16) if self.size < 1 << 16 else words, kind="stable")  # by radix if it can
         words, first = np.unique(words[order], return_index=True)
-        grads["x"][words] += np.add.reduceat(slopes[order], first)
+        return words, np.add.reduceat(slopes[order], first)
 
     def score(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Natural log-likelihood of each text ``ids[bounds[i]:bounds[i+1]]``, other words as one symbol."""
@@ -268,8 +327,17 @@ class GatedModel:
 
 def _places(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Place of each hash in the sorted words, or their number for one that isn't there."""
-    at = np.searchsorted(words, hashes)
-    at[words[np.minimum(at, len(words) - 1)] != hashes] = len(words)
+    # hashes are even, so about two words share their leading bits
+    shift = np.uint64(64 - max(1, len(words).bit_length() - 1))
+    first = np.searchsorted(words, np.arange(1 << 64 - int(shift), dtype=np.uint64) << shift)
+    most = int(np.diff(first, append=len(words)).max())
+    at = first[(hashes >> shift).astype(np.int64)]
+    padded = np.append(words, np.uint64(2**64 - 1))
+    for _ in range(min(most, 12)):
+        at += padded[at] < hashes
+    late = np.flatnonzero(padded[at] < hashes) if most > 12 else np.zeros(0, np.int64)
+    at[late] = np.searchsorted(words, hashes[late])
+    at[padded[at] != hashes] = len(words)
     return at
 
 
@@ -350,7 +418,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, fold: int = 2) -> DataFra
     words, n = np.append(END, words[first].view(np.uint64)), np.append(ends, n[first])  # the end is word 0
     vocab = min(grown, head.num_rows + 1) if n_all else 0
     n_tail, v_tail = n_all - int(n[:vocab].sum()), v_all - vocab
-    model = GatedModel(n[:vocab].astype(np.float64), n_tail, classes=max(CLASSES, isqrt(vocab)))
+    model = GatedModel(n[:vocab].astype(np.float64), n_tail, classes=max(CLASSES, 2 * isqrt(vocab) // 5))
     order = np.argsort(words)
     words, n, rank = words[order], n[order], order
     log_base, log_tail = log10(n_all + v_all + 1), log10(n_tail + v_tail + 1)

@@ -304,6 +304,26 @@ def test_every_training_document_counts(spark, monkeypatch):
     assert sizes == [int(3 * (sum(len(t.split()) + 1 for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2) / 2000) ** 0.5)] and sizes[0] > 3
 
 
+@pytest.mark.parametrize("n", [1, 2, 1000])
+def test_places(n):
+    rng = np.random.default_rng(n)
+    few = rng.integers(0, 2**64, n, dtype=np.uint64)
+    for words in (few, np.arange(n, dtype=np.uint64) + np.uint64(7)):  # spread evenly, and all in one place
+        words = np.unique(words)
+        hashes = np.concatenate([words, words + np.uint64(1), np.array([0, 1, 2**64 - 1], np.uint64)])
+        want = {int(w): i for i, w in enumerate(words)}
+        assert gru_lm._places(words, hashes).tolist() == [want.get(int(h), len(words)) for h in hashes]
+
+
+def test_large_logits():
+    """Weights too large for a plain sum of exponentials give finite, whole probabilities."""
+    m = gru_lm.GatedModel(np.array([9.0, 5, 4, 3, 2, 2, 1, 1]), 6, hidden=5, classes=3)
+    m.p = {k: v * 400 for k, v in m.p.items()}
+    assert not m._bounded()
+    h = np.random.default_rng(2).uniform(-1, 1, (1, 5)).astype(np.float32)
+    assert sum(np.exp(m.log_probs(h, np.array([i]))[0]) for i in range(9)) == pytest.approx(1, abs=1e-4)
+
+
 def test_packed_lanes_restart_at_texts():
     """The gradient of texts laid end to end is the sum of theirs alone."""
     texts = [np.array([3, 1, 0]), np.array([2, 5, 8, 0])]
