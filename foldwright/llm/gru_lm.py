@@ -161,7 +161,7 @@ class GatedModel:
         order = np.argsort(cls, kind="stable")  # class by class from here
         own = np.empty(len(to), h.dtype)
         n, width = h.shape
-        h, h[:, :width] = np.ones((n, width + 1), h.dtype), h[order]
+        h, h[:, :width] = np.ones((n, width + 1), h.dtype), h.take(order, 0)
         cls, place = cls[order], self.place[to[order]]
         up = np.empty((n, width), h.dtype) if slope else None
         ends = np.searchsorted(cls, np.arange(self.n_classes + 1)).tolist()
@@ -217,7 +217,7 @@ class GatedModel:
                 n = int(live[t])
                 last = prior[start[:n] + t]
                 before = h[:n] * (last != 0)[:, None]
-                h, z, r, c = self.step(self.p["x"][last], before)
+                h, z, r, c = self.step(self.p["x"].take(last, 0), before)
                 tape.append((n, last, before, z, r, c, h, ids[start[:n] + t]))
             moments["turn"] += 1
             self._learn(tape, moments["mean"], moments["square"], moments["turn"], packed=True, share=sum(len(x[7]) for x in tape) / (lanes * WINDOW))
@@ -300,7 +300,7 @@ class GatedModel:
         words = np.concatenate([s[1] for s in tape])
         order = np.argsort(words.astype(np.uint16) if self.size < 1 << 16 else words, kind="stable")  # by radix if it can
         words, first = np.unique(words[order], return_index=True)
-        return words, np.add.reduceat(slopes[order], first)
+        return words, np.add.reduceat(slopes.take(order, 0), first)
 
     def score(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Natural log-likelihood of each text ``ids[bounds[i]:bounds[i+1]]``, other words as one symbol."""
@@ -315,7 +315,7 @@ class GatedModel:
             states, targets, owners = [], [], []
             for t in range(t0, min(t0 + WINDOW, len(live))):
                 n = int(live[t])
-                h = self.step(self.p["x"][last[:n]], h[:n])[0]
+                h = self.step(self.p["x"].take(last[:n], 0), h[:n])[0]
                 last = ids[start[:n] + t]
                 states.append(h), targets.append(last), owners.append(np.arange(n))
             got = self.log_probs(np.concatenate(states), np.concatenate(targets))
