@@ -137,8 +137,9 @@ grouped("u16_paymentsaggregatefunction", "payments", "orders", lambda: {"g": C("
 grouped("u17_prediction", "prediction", "events", lambda: EVENT_TYPE(), lambda: (V(), C("value") - 50), lambda: None, {"gain": "s"},
         f"SELECT event_type AS g, CAST(sum(CASE WHEN value - 50 > 0 THEN {E_CENTS} ELSE -{E_CENTS} END) AS BIGINT) AS gain FROM events GROUP BY event_type")
 
+_wide = "cast({} as decimal(19, 0))".format  # products of sums outgrow a bigint
 grouped("u18_regslope", "regression_slope", "orders", lambda: {"g": C("o_orderstatus")}, lambda: (F.year("o_orderdate").cast("bigint"), C("o_custkey")), lambda: None,
-        {"n": "s_4", "slope": "round((s_4 * s_2 - s_0 * s_1) / (s_4 * s_3 - s_0 * s_0), 6)"},
+        {"n": "s_4", "slope": f"round(cast({_wide('s_4')} * {_wide('s_2')} - {_wide('s_0')} * {_wide('s_1')} as double) / cast({_wide('s_4')} * {_wide('s_3')} - {_wide('s_0')} * {_wide('s_0')} as double), 6)"},
         "SELECT g, count(*) AS n, round(CAST(count(*) * sum(m * p) - sum(m) * sum(p) AS DOUBLE) / CAST(count(*) * sum(m * m) - sum(m) * sum(m) AS DOUBLE), 6) AS slope FROM (SELECT o_orderstatus AS g, (year(o_orderdate) - 2000) * 12 + 1 AS m, o_custkey AS p FROM orders) GROUP BY g")
 
 grouped("u19_streamingstockticker", "stock_ticker", "events", lambda: USER(), lambda: (C("event_type"), V(), V()), lambda: EID(), {"ticker": "s_0", "mean": "round(s_1 / s_2, 6)"},
