@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +19,8 @@ from pyspark.sql import functions as F
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 _scratch: dict[str, SparkSession] = {}
+#: Paths of the tables written inside :func:`only_last`.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -59,9 +65,74 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     if not _scratch:
         atexit.register(sweep)
     _scratch[path] = spark
+    if (written := _written.get()) is not None:
+        written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def only_last(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, the last table that it wrote; the tables written on the way there are removed."""
+    token = _written.set([])
+    try:
+        df = make()
+        for path in _written.get()[:-1]:
+            _sweep(path)
+    finally:
+        _written.reset(token)
+    return df
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of queries that are over.
+
+    It does so when the driver's garbage is collected, for which a small heap gives no cause while disks fill up.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def shrink_heaps(spark: SparkSession) -> None:
+    """Let the executors give memory back that earlier steps needed: a heap shrinks only when it is collected as a whole."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc")).alias("x")).write.format("noop").mode("overwrite").save()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of ``rows`` rows for queries that run inside, as several are held at once, by Spark and by Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    if before is None or int(before) <= 0 or int(before) > rows:
+        spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def numbered(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` and ``__row``, a number that tells its rows apart and is the same whenever they are read again.
+
+    Rows of a Parquet path are numbered by file and place in it, and nothing is written; any other table is written once.
+    """
+    import pyarrow as pa
+
+    plan = df._jdf.queryExecution().analyzed()
+    name = lambda x: x.getClass().getSimpleName()
+    if name(plan) == "LogicalRelation" and name(plan.relation()) == "HadoopFsRelation" and name(plan.relation().fileFormat()) == "ParquetFileFormat":
+        if plan.relation().location().rootPaths().size() == 1:  # a path given twice has its rows twice
+            file, at = (df.metadataColumn("_metadata").getField(c) for c in ("file_path", "row_index"))
+            files = sorted(r[0] for r in df.select(file.alias("f")).distinct().collect())
+            numbers = pa.table([pa.array(files, pa.string()), pa.array(range(len(files)), pa.int64())], names=["__file", "__n"])
+            numbers = df.sparkSession.createDataFrame(numbers)  # from Arrow no Python worker is needed
+            own = df.select(*[df[c] for c in df.columns], file.alias("__file"), at.alias("__at"))
+            return own.join(F.broadcast(numbers), "__file").select(*df.columns, (F.shiftleft("__n", 40) + F.col("__at")).alias("__row"))
+    return materialize(df.withColumn("__row", F.monotonically_increasing_id()), tag)
+
+
 def salted_join(many: DataFrame, few: DataFrame, on: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
     """``many`` joined to ``few``, which has a row a key, with every key's rows spread over ``salts`` tasks."""
     spread = many.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))

@@ -34,6 +34,7 @@ id can link others but has no name to give.  Repeated rows are equal sets.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb, exp, sqrt
 
@@ -41,7 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_by_share, materialize, mix64, release, salted_join, text_buffer, words_of
+from .common import drop_table, free_shuffles, join_by_share, materialize, mix64, release, salted_join, small_batches, text_buffer, words_of
 from .graph import connected_components
 
 #: A list key of a heavy set costs so many times one of a light set: it may need checking in vain.
@@ -212,8 +213,8 @@ def sized(docs: DataFrame, k: int) -> DataFrame:
     return _scan(docs, k, handle, "doc_id long, n_shingles long, node binary, short long")
 
 
-def keyed(docs: DataFrame, k: int, keys: Keys) -> DataFrame:
-    """(key, short) of every set; a set that a task meets again emits nothing more.
+def keyed(docs: DataFrame, k: int, keys: Keys, part: int = 0, parts: int = 1) -> DataFrame:
+    """(key, short) of every set, of the ``part``-th of ``parts`` of all keys; a set that a task meets again emits nothing more.
 
     A key that several sets of a slice share goes on with the least of them alone; the others are
     tied to it by a key of the two of them.  So a key has a row a slice at most, however many sets share it.
@@ -228,6 +229,8 @@ def keyed(docs: DataFrame, k: int, keys: Keys) -> DataFrame:
                 continue
             seen.add(a)
             own = keys.of(s)
+            if parts > 1:
+                own = [o[o % np.uint64(parts) == part] for o in own]
             out += own
             owners += [a] * len(own)
         if not out:
@@ -315,8 +318,22 @@ def link_groups(group, percent: int) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row."""
+def candidate_edges(docs: DataFrame, k: int, keys: Keys, part: int = 0, parts: int = 1) -> DataFrame:
+    """(u, v): the sets of each list with its leader."""
+    leader = keyed(docs, k, keys, part, parts).withColumn("leader", F.expr("min(short) OVER (PARTITION BY key)"))
+    return leader.where(F.col("leader") != F.col("short")).select(F.col("short").alias("u"), F.col("leader").alias("v"))
+
+
+def join(docs: DataFrame, k: int = 4, percent: int = 85, rounds: int = 1) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id reachable by links) of every row.
+
+    The lists are made in ``rounds`` by their keys, each with that part of the shuffled rows, for so many scans of the texts.
+    """
+    with small_batches(docs.sparkSession):  # all that runs Python is written here
+        return _join(docs, k, percent, rounds)
+
+
+def _join(docs: DataFrame, k: int, percent: int, rounds: int) -> DataFrame:
     import pyarrow as pa
 
     spark = docs.sparkSession
@@ -325,10 +342,17 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     keys = Keys(percent, popular=popular_shingles(docs, k))
     keys.boundary = min(range(LIGHT_MOST + 1), key=lambda x: (keys.cost(counts, x), x)) if counts else 0
 
-    lists = keyed(docs, k, keys)
-    leader = lists.withColumn("leader", F.expr("min(short) OVER (PARTITION BY key)"))
-    edges = leader.where(F.col("leader") != F.col("short")).select(F.col("short").alias("u"), F.col("leader").alias("v"))
+    edges, written = candidate_edges(docs, k, keys, 0, rounds), []
+    if rounds > 1:
+        for i in range(rounds):
+            free_shuffles(spark)
+            written.append(materialize(candidate_edges(docs, k, keys, i, rounds).distinct(), "ngram-edges"))
+        edges = reduce(DataFrame.unionAll, written)
+    free_shuffles(spark)
     groups = materialize(connected_components(edges, "ngram-candidates"), "ngram-groups").withColumnsRenamed({"node": "short", "label": "grp"})
+    for df in written:
+        drop_table(df)
+    free_shuffles(spark)
 
     nodes = sizes.where("n_shingles > 0").groupBy("node", "short", "n_shingles").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     nodes = materialize(nodes, "ngram-nodes")
@@ -365,6 +389,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     def checked(table: pa.Table) -> pa.Table:
         found = dict(zip(table.column("node").to_pylist(), table.column("members").to_pylist()))
         linked = link_groups((list(found), [np.frombuffer(m, np.uint64) for m in found.values()]), percent) if len(found) > 1 else []
+        release()
         grp, split = len(linked) * [table.column("grp")[0].as_py()], len(linked) * [table.column("chunks")[0].as_py() > 1]
         return pa.table([pa.array(grp, pa.int64()), pa.array([x for x, _ in linked], pa.binary()), pa.array([r for _, r in linked], pa.binary()), pa.array(split, pa.bool_())], names=["grp", "u", "v", "split"])
 
@@ -372,6 +397,7 @@ def join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     pivot = (F.col("chunks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("docs")) < PIVOTS)
     first = members.withColumn("part", F.explode(F.when(pivot, upto(F.col("chunks"))).otherwise(F.array("mine"))))
     stars = materialize(first.groupBy("grp", "part").applyInArrow(checked, links), "ngram-links")
+    free_shuffles(spark)
     whole = stars.where(~F.col("split")).select(F.col("u").alias("node"), F.col("v").alias("label"))
     large = groups.where("chunks > 1")
     if large.limit(1).count():
